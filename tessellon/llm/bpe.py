@@ -28,6 +28,8 @@ from tessellon.llm.arrow import map_texts
 MEMO = 400_000
 #: Above every id.
 FAR = 1 << 24
+#: Stands to the left of the first token, which must itself come out of merging its bytes.
+START = FAR - 1
 
 
 class ByteBPE:
@@ -89,7 +91,7 @@ class ByteBPE:
                 last = tokens.pop()
                 at -= length[last]
                 i = shorter[last]
-            elif (end := at + length[i]) not in dead and (not tokens or fits[tokens[-1] * FAR + i]):
+            elif (end := at + length[i]) not in dead and fits[(tokens[-1] if tokens else START) * FAR + i]:
                 tokens.append(i)
                 if end == size:
                     return tokens
@@ -127,8 +129,8 @@ class _Fits(dict):
 
     def __missing__(self, pair: int) -> bool:
         left, right = divmod(pair, FAR)
-        joined = self.bpe.bytes_of[left] + self.bpe.bytes_of[right]
-        self[pair] = fit = joined not in self.bpe.ranks and self.bpe.merged(joined) == [left, right]
+        want = [right] if left == START else [left, right]
+        self[pair] = fit = self.bpe.merged(b"".join(map(self.bpe.bytes_of.__getitem__, want))) == want
         return fit
 
 
