@@ -177,21 +177,24 @@ def decode_ids(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
     return map_texts(df, key, ids, "decoded binary", batch)
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256): encode every text and decode its ids.
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256[, token_ids]): encode every text and decode its ids.
 
     The digests are of the packed ids and of the decoded bytes. Encoding and decoding
     share one pass, so neither ids nor texts travel between processes a second time.
+    A null text counts as empty; repeated rows stay; other columns are ignored.
     """
 
     def batch(texts: list) -> list[list]:
         bpe = loaded(vocabulary, pattern)
-        out: list[list] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         for t in texts:
             ids = bpe.encode(t or "")
             out[0].append(len(ids) // 4)
             out[1].append(hashlib.sha256(ids).hexdigest())
             out[2].append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-        return out
+            if keep_ids:
+                out[3].append(ids)
+        return out if keep_ids else out[:3]
 
-    return map_texts(df, key, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", batch)
+    return map_texts(df, key, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * keep_ids, batch)

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,6 +163,16 @@ def score_texts(df: DataFrame, machine: Machine, features: Features, key: str =
     return map_texts(df, key, text, "score double", batch)
 
 
+def score_column(machine: Machine, features: Features) -> Callable[[Column], Column]:
+    """A column function for the score, for use inside a larger plan."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(machine.scores([machine.rows_of(features(t or "")) for t in texts]))
+
+    return scored
+
+
 def remainder(key: Column, parts: int) -> Column:
     """The fold of a row: CRC-32 of its key as text, modulo ``parts``; a null key is in fold 0."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts, F.lit(0))

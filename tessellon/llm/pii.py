@@ -15,9 +15,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tessellon.llm.arrow import map_texts
 
@@ -162,7 +162,16 @@ def redact(text: str | None) -> str | None:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(StringType())
-def redacted(texts):  # noqa: ANN001, ANN201
-    """Column function: each text without its personal data; null stays null."""
-    return texts.map(redact, na_action="ignore")
+def redacted(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """``docs`` with its personal data replaced, and the count of characters, where it has one, brought up to date.
+
+    A null text stays null, a text without personal data stays as it is, and all other
+    columns and all rows stay.
+    """
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series) -> pd.Series:
+        return texts.map(redact, na_action="ignore")
+
+    out = docs.withColumn(text, without(docs[text]))
+    return out.withColumn(size, F.char_length(out[text]).cast(docs.schema[size].dataType)) if size in docs.columns else out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import bpe, fm, mixing, pii, quality, simhash, toxicity
+from tessellon.llm import bpe, fm, mixing, pii, quality, simhash, toxicity, vectors, warc
 from tessellon.session import table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -45,15 +45,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, 5, 0)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives that the legacy records were converted to."""
+    return warc.convert(table(spark, sf_dir, "pages"), version=2)
+
+
+def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9 or more and the smallest vector that it reaches by them."""
+    found = vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's size and target, and the words that the mix takes of it."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    found = (op1_bpe, op2_pii, op4_quality, op5_simhash, op6_toxicity, op10_mix)
+    found = (op1_bpe, op2_pii, op4_quality, op5_simhash, op6_toxicity, op7_warc, op8_vectors, op10_mix)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {"op10_mix": mixing.ORACLE}
+    return {"op7_warc": warc.ORACLE, "op10_mix": mixing.ORACLE}

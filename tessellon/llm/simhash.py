@@ -20,8 +20,9 @@ from itertools import accumulate, combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.llm.arrow import map_texts
@@ -119,6 +120,17 @@ def links_by_centre(prints: DataFrame, distance: int) -> DataFrame:
     return at.join(least, "centre").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
+def grouped(df: DataFrame, distance: int, words: int, key: str, text: str, blocks: int | None, dense: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (id, fp), and the groups (fp, component, low) of the distinct ones.
+
+    ``component`` is the least fingerprint of a group, ``low`` the least id of a fingerprint.
+    """
+    prints, _ = written(fingerprints(df, words, key, text).withColumnsRenamed({key: "id"}), "simhash")
+    distinct, _ = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    joined = connected_components(links(distinct.select("fp"), distance, blocks, dense), "a", "b").withColumnRenamed("node", "fp")
+    return prints, distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "low")
+
+
 def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", blocks: int | None = None, dense: int = DENSE) -> DataFrame:
     """(key, fp, component): every row with its fingerprint and the smallest key it reaches by links.
 
@@ -127,11 +139,27 @@ def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, key: str =
     a null key take part but never name a component unless it has no other key; repeated
     rows stay; an empty table gives no rows.
     """
-    prints, _ = written(fingerprints(df, words, key, text).withColumnsRenamed({key: "id"}), "simhash")
-    distinct, _ = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
-    joined = connected_components(links(distinct.select("fp"), distance, blocks, dense), "a", "b").withColumnRenamed("node", "fp")
-    joined = joined.join(distinct, "fp")
-    lowest = joined.groupBy("component").agg(F.min("low").alias("lowest"))
-    named = joined.join(lowest, "component").select("fp", "lowest")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component"))
-    return prints.join(named, "fp").select(F.col("id").alias(key), "fp", "component")
+    prints, groups = grouped(df, distance, words, key, text, blocks, dense)
+    lowest = groups.groupBy("component").agg(F.min("low").alias("lowest"))
+    named = groups.join(lowest, "component").select("fp", "lowest")
+    return prints.join(named, "fp").select(F.col("id").alias(key), "fp", F.col("lowest").alias("component"))
+
+
+def deduplicated(df: DataFrame, distance: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", blocks: int | None = None, dense: int = DENSE) -> DataFrame:
+    """``df`` with one row of each group of near duplicates: that of the smallest key, null keys last.
+
+    Columns stay as they are. Of repeated rows one stays.
+    """
+    _, groups = grouped(df, distance, words, key, text, blocks, dense)
+    best = groups.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp"))).alias("best")).select("best.low", "best.fp")
+    best = best.select(F.xxhash64("low", "fp").alias("h"), "fp")
+
+    @F.pandas_udf("bigint")
+    def print_of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: fingerprint(t, words))
+
+    rows = df.select(F.struct(*df.columns).alias("row"), print_of(df[text]).alias("fp"))
+    # for one fingerprint the hash of an integer key is that key's alone, so both name the row, null keys included
+    rows = rows.select("row", "fp", F.xxhash64(F.col("row")[key], F.col("fp")).alias("h"))
+    first = F.row_number().over(Window.partitionBy("h", "fp").orderBy("h"))
+    return rows.join(best, ["h", "fp"]).withColumn("n", first).where("n = 1").select("row.*")

@@ -27,3 +27,8 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
 def score(docs: DataFrame, machine: fm.Machine, **columns: str) -> DataFrame:
     """(key, score) for every row: the likelihood that its text is toxic. Null and empty texts get the score of no terms."""
     return fm.score_texts(docs, machine, terms, **columns)
+
+
+def kept(docs: DataFrame, machine: fm.Machine, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``; their columns stay as they are."""
+    return docs.where(fm.score_column(machine, terms)(docs[text]) < threshold)
