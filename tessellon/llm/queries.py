@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import bpe, fm, mixing, pii, quality, simhash, toxicity, vectors, warc
+from tessellon.llm import bpe, fm, jpeg, mixing, pii, quality, secrets, simhash, toxicity, vectors, warc
 from tessellon.session import table
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op3_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a JPEG, and figures of the bytes and the thumbnail read back from it."""
+    return jpeg.read_texts(jpeg.store_texts(table(spark, sf_dir, "documents")))
+
+
 def _scored(spark: SparkSession, sf_dir: str, model, parts: int, held: int) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = model.learn(docs, labels, fm.remainder(F.col("doc_id"), parts) != held)
@@ -56,13 +61,18 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate in every document, with the forest's score and verdict."""
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(secrets.labelled_findings()))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's size and target, and the words that the mix takes of it."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    found = (op1_bpe, op2_pii, op4_quality, op5_simhash, op6_toxicity, op7_warc, op8_vectors, op10_mix)
+    found = (op1_bpe, op2_pii, op3_jpeg, op4_quality, op5_simhash, op6_toxicity, op7_warc, op8_vectors, op9_secrets, op10_mix)
     return {f.__name__: f for f in found}
 
 
