@@ -29,7 +29,8 @@ def cosine(a: Column, b: Column) -> Column:
 def normalize(v: Column) -> Column:
     """The vector at length 1; a zero vector stays as it is."""
     length = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(length > 0, length).otherwise(F.lit(1.0)))
+    scale = F.array_repeat(F.when(length > 0, length).otherwise(F.lit(1.0)), F.size(v))  # computed once, not for each coordinate
+    return F.zip_with(doubles(v), scale, lambda x, s: x / s)
 
 
 def truncate(v: Column, dims: int, renormalize: bool = False) -> Column:

@@ -21,9 +21,9 @@ def intersect_ranges(a: DataFrame, b: DataFrame, keys: list[str], width: int = 2
     Ranges are dealt to the bins of ``width`` they reach, which makes the overlap an equi
     join; a pair is kept in the bin of its common start alone.
     """
-    bins = lambda df: df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    x = bins(a.select(*keys, start, end)).alias("x")
-    y = bins(b.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e"))).alias("y")
+    bins = lambda df, s, e: df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width))))
+    x = bins(a.select(*keys, start, end), start, end)
+    y = bins(b.select(*keys, F.col(start).alias("__s"), F.col(end).alias("__e")), "__s", "__e")
     both = x.join(y, [*keys, "__bin"]).where((F.col(start) <= F.col("__e")) & (F.col("__s") <= F.col(end)))
     low, high = F.greatest(F.col(start), F.col("__s")), F.least(F.col(end), F.col("__e"))
     return both.where(F.floor(low / width) == F.col("__bin")).select(*keys, low.alias(start), high.alias(end))

@@ -30,24 +30,24 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return out if k is None else out.where(F.col(name) <= k)
 
 
-def unit_rows(vectors: list, dims: int) -> np.ndarray:
-    """A matrix of unit rows; rows that are null, zero or of another length are not a number."""
+def unit_rows(vectors: list, dims: int, unit: bool = True) -> np.ndarray:
+    """A matrix of rows at length 1, or as they are; rows that are null, zero or of another length are not a number."""
     out = np.full((len(vectors), dims), np.nan)
     for i, v in enumerate(vectors):
         if v is not None and len(v) == dims and (length := np.sqrt(np.square(x := np.asarray(v, float)).sum())) > 0:
-            out[i] = x / length
+            out[i] = x / length if unit else x
     return out
 
 
-def semantic_search(corpus: DataFrame, queries: DataFrame, k: int | None, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", where: Column | None = None, exclude_same: bool = False) -> DataFrame:
+def semantic_search(corpus: DataFrame, queries: DataFrame, k: int | None, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id", where: Column | None = None, exclude_same: bool = False, unit: bool = True) -> DataFrame:
     """(query_id, id, score, rank) of the ``k`` nearest rows by cosine to each query (query_id, embedding).
 
     ``k`` None ranks all rows. ``exclude_same`` leaves out the row whose id is the query's.
     """
     corpus = corpus.where(F.col(vector).isNotNull() if where is None else where & F.col(vector).isNotNull()).select(id_col, vector)
     kind = queries.schema[query_id].dataType.simpleString()
-    parts = [_nearest(corpus, id_col, vector, ids, found, k, query_id, kind, exclude_same) for ids, found in _blocks(queries.where(F.col(vector).isNotNull()).select(query_id, vector), query_id)]
-    pairs = reduce(DataFrame.unionByName, parts or [_nearest(corpus.limit(0), id_col, vector, [], [], k, query_id, kind, exclude_same)])
+    parts = [_nearest(corpus, id_col, vector, ids, found, k, query_id, kind, exclude_same, unit) for ids, found in _blocks(queries.where(F.col(vector).isNotNull()).select(query_id, vector), query_id)]
+    pairs = reduce(DataFrame.unionByName, parts or [_nearest(corpus.limit(0), id_col, vector, [], [], k, query_id, kind, exclude_same, unit)])
     if exclude_same:
         pairs = pairs.where(F.col(query_id) != F.col(id_col))
     return ranked(pairs, [query_id], [F.col("score").desc(), F.col(id_col)], "rank", k)
@@ -66,15 +66,15 @@ def _blocks(asked: DataFrame, query_id: str) -> Iterator[tuple[list, list]]:
         yield held
 
 
-def _nearest(corpus: DataFrame, id_col: str, vector: str, ids: list, found: list, k: int | None, query_id: str, query_type: str, exclude_same: bool) -> DataFrame:
+def _nearest(corpus: DataFrame, id_col: str, vector: str, ids: list, found: list, k: int | None, query_id: str, query_type: str, exclude_same: bool, unit: bool) -> DataFrame:
     """Each batch's best rows for each query."""
     dims = max((len(v) for v in found), default=1)
-    asked = unit_rows(found, dims)
+    asked = unit_rows(found, dims, unit)
     keep = None if k is None else k + exclude_same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = unit_rows(batch.column(1).to_pylist(), dims)
+            own = unit_rows(batch.column(1).to_pylist(), dims, unit)
             ok = np.flatnonzero(~np.isnan(own[:, 0]))
             if not len(ok) or not len(ids):
                 continue
@@ -90,6 +90,11 @@ def _nearest(corpus: DataFrame, id_col: str, vector: str, ids: list, found: list
     return corpus.mapInArrow(run, spark_schema)
 
 
+def dot_search(corpus: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", query_id: str = "query_id") -> DataFrame:
+    """(query_id, id, score, rank) of the ``k`` other rows with the largest inner product; vectors are taken as they are."""
+    return semantic_search(corpus, queries, k, id_col, vector, query_id, exclude_same=True, unit=False)
+
+
 def nearest_union(hits: DataFrame, id_col: str = "vec_id") -> DataFrame:
     """The distinct ids that any query found."""
     return hits.select(id_col).distinct()

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from tessellon.plans import knowledge, retrieval
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {q.__name__: q for q in (*retrieval.QUERIES, *knowledge.QUERIES)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return retrieval.SQL | knowledge.SQL
