@@ -7,15 +7,29 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: The most that an Arrow batch to Python holds: rows, and bytes beyond which no row is added.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to a size of which a worker can keep several; smaller settings stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+    return df
+
 
 def map_texts(df: DataFrame, key: str, text: str, fields: str, per_batch: Callable[[list], list[list]]) -> DataFrame:
     """(key, *fields) for each row of ``df``; other columns are not read.
 
     ``per_batch`` gets the texts of one Arrow batch (null as None) and returns one list
-    for each field. Batches are bounded in rows and bytes by Spark's Arrow settings, so a
-    task never holds its whole partition.
+    for each field. Batches are bounded in rows and bytes, so a task never holds its whole
+    partition.
     """
-    base = df.select(df[key], df[text])
+    base = bounded(df).select(df[key], df[text])
     kind = base.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,9 +26,9 @@ from tessellon.llm.arrow import map_texts
 Features = Callable[[str], Iterable[str]]
 
 #: Labelled rows of each label that training uses at most.
-SAMPLE = 4_000
+SAMPLE = 2_000
 #: Hash space of the features, and the names whose hash a worker remembers.
-SPACE, MEMO = 1 << 24, 300_000
+SPACE, MEMO = 1 << 24, 100_000
 #: A feature is used if this many sampled rows have it and its chi-square statistic is this large; at most ``MOST``.
 LEAST_ROWS, LEAST_CHI, MOST = 3, 16.0, 2_048
 RANK, STEPS, RATE, DECAY, SEED = 8, 200, 0.05, 1e-3, 11
@@ -120,13 +120,16 @@ def associated(sets: list[np.ndarray], y: np.ndarray) -> dict[int, int]:
     """The buckets most associated with the label, each with its row of weights."""
     if not len(y) or y.min() == y.max():
         return {}
-    at = np.concatenate(sets)
-    rows = np.repeat(y, [len(s) for s in sets])
-    names, back = np.unique(at, return_inverse=True)
-    n, ones = np.bincount(back, minlength=len(names)).astype(float), np.bincount(back, rows, len(names))
+    n, ones = np.zeros(SPACE, np.uint32), np.zeros(SPACE, np.uint32)
+    for s, label in zip(sets, y):
+        n[s] += 1
+        if label:
+            ones[s] += 1
+    names = np.flatnonzero(n >= LEAST_ROWS)
+    n, ones = n[names].astype(float), ones[names].astype(float)
     total, all_ones = float(len(y)), float(y.sum())
     chi = total * (ones * total - n * all_ones) ** 2 / np.maximum(n * (total - n) * all_ones * (total - all_ones), 1)
-    keep = np.flatnonzero((n >= LEAST_ROWS) & (chi >= LEAST_CHI))
+    keep = np.flatnonzero(chi >= LEAST_CHI)
     keep = keep[np.lexsort((names[keep], -chi[keep]))][:MOST]
     return {int(b): i for i, b in enumerate(sorted(names[keep]))}
 

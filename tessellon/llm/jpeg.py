@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import map_texts
+from tessellon.llm.arrow import bounded, map_texts
 
 #: Blocks of a restart segment and of a row, the most blocks a dimension may have, and the blocks of a row once 64 are too few.
 UNIT, MOST, WIDE = 64, 8_191, 8_128
 #: Bytes that are written or decoded together.
-GROUP = 1 << 20
+GROUP = 1 << 18
 
 #: Code lengths of the written DC categories 0 to 8; the AC table has the end of block alone, as one bit.
 DC_LENGTHS = {0: 4, 1: 4, 2: 4, 3: 4, 8: 4, 4: 3, 5: 3, 6: 3, 7: 3}
@@ -410,5 +410,5 @@ def read_texts(df: DataFrame, key: str = "doc_id", media: str = "media", size: s
                 columns = zip(*rows(batch.column(2).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=names)
 
-    base = df.select(F.col(key), F.col(size), F.col(media))
+    base = bounded(df).select(F.col(key), F.col(size), F.col(media))
     return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, {size} bigint, {fields}")

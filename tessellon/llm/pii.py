@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import map_texts
+from tessellon.llm.arrow import bounded, map_texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -173,5 +173,5 @@ def redacted(docs: DataFrame, text: str = "text", size: str = "n_chars") -> Data
     def without(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
 
-    out = docs.withColumn(text, without(docs[text]))
+    out = bounded(docs).withColumn(text, without(docs[text]))
     return out.withColumn(size, F.char_length(out[text]).cast(docs.schema[size].dataType)) if size in docs.columns else out

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.llm.arrow import bounded
+
 FINDINGS, SEED = 4_000, 31
 TREES, DEPTH, LEAST_LEAF = 40, 9, 4
 #: Characters on each side whose words are neighbours.
@@ -258,5 +260,5 @@ def scan(df: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [key, "start", "end", "kind", "score", "is_secret"]
-    base = df.select(F.col(key), F.col(text), F.col(path).cast("string"))
+    base = bounded(df).select(F.col(key), F.col(text), F.col(path).cast("string"))
     return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, start bigint, end bigint, kind string, score double, is_secret boolean")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import map_texts
+from tessellon.llm.arrow import bounded, map_texts
 from tessellon.operators.components import connected_components
 from tessellon.session import written
 
@@ -158,7 +158,7 @@ def deduplicated(df: DataFrame, distance: int = 4, words: int = 4, key: str = "d
     def print_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t, words))
 
-    rows = df.select(F.struct(*df.columns).alias("row"), print_of(df[text]).alias("fp"))
+    rows = bounded(df).select(F.struct(*df.columns).alias("row"), print_of(df[text]).alias("fp"))
     # for one fingerprint the hash of an integer key is that key's alone, so both name the row, null keys included
     rows = rows.select("row", "fp", F.xxhash64(F.col("row")[key], F.col("fp")).alias("h"))
     first = F.row_number().over(Window.partitionBy("h", "fp").orderBy("h"))

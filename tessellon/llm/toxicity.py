@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 
 from tessellon.llm import fm
+from tessellon.llm.arrow import bounded
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -31,4 +32,4 @@ def score(docs: DataFrame, machine: fm.Machine, **columns: str) -> DataFrame:
 
 def kept(docs: DataFrame, machine: fm.Machine, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``; their columns stay as they are."""
-    return docs.where(fm.score_column(machine, terms)(docs[text]) < threshold)
+    return bounded(docs).where(fm.score_column(machine, terms)(docs[text]) < threshold)

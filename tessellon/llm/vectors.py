@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.llm.arrow import bounded
 from tessellon.operators.components import connected_components
 from tessellon.session import written
 
@@ -74,7 +75,7 @@ def classes(df: DataFrame, key: str, vector: str) -> DataFrame:
             names = [None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(raw, pa.binary())], names=["id", "cls", "unit"])
 
-    base = df.select(F.col(key).alias("id"), F.col(vector))
+    base = bounded(df).select(F.col(key).alias("id"), F.col(vector))
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, cls binary, unit binary")
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellon.llm.arrow import bounded
 from tessellon.session import shared_path, written
 
 #: Records in an archive file at most, and the payload size from which equal payloads are revisits.
@@ -166,12 +167,12 @@ def to_records(pages: DataFrame, version: int = 2) -> DataFrame:
                 out = [warc_record(*legacy, row["refers_to"]) for row in part for legacy in parse_arc(arc_record(row["page_id"], row["url"], row["html"], version), version)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record string")
+    return bounded(pages).select("page_id", "url", "html", "refers_to").mapInArrow(run, "record string")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write archives of at most ``RECORDS`` records each."""
-    records.write.option("lineSep", "").option("maxRecordsPerFile", RECORDS).text(path)
+    """Write archives of at most ``RECORDS`` records each. The writer ends each value with a line feed, which is a record's last byte."""
+    records.select(F.expr("substr(record, 1, length(record) - 1)")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -187,7 +188,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    return files.select("content").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return bounded(files).select("content").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def convert(pages: DataFrame, version: int = 2, least_bytes: int = LEAST_BYTES, path: str | None = None) -> DataFrame:
