@@ -116,42 +116,47 @@ class Cell:
 
     def __init__(self, table: pa.Table, bits: int, count: int):
         self.at = table.column("cell").to_pylist()
-        self.side = np.array(table.column("side").to_pylist())
-        self.other = np.array(table.column("other").to_pylist())
+        self.side, self.other, self.n, self.factor = (table.column(c).to_numpy() for c in ("side", "other", "n", "factor"))
         self.cls = table.column("cls").to_pylist()
-        self.n = np.array(table.column("n").to_pylist())
-        self.unit = [np.frombuffer(u) for u in table.column("unit").to_pylist()]
-        self.factor = np.array(table.column("factor").to_pylist())
-        self.codes = table.column("codes").to_pylist()
-        self.bits, self.count = bits, count
+        raw = table.column("unit").to_pylist()
+        self.dim = np.fromiter((len(r) // 8 for r in raw), np.int64, len(raw))
+        self.table = np.fromiter((int.from_bytes(k[4:8], "big") for k in self.at), np.int64, len(raw))
+        #: By length of vector: the place of each row, and units, signs of the first rotation, turned units and keys in all tables.
+        self.place, self.parts = np.zeros(len(raw), np.int64), {}
+        codes = table.column("codes").to_pylist()
+        for dim in np.unique(self.dim).tolist():
+            rows = np.flatnonzero(self.dim == dim)
+            self.place[rows] = np.arange(len(rows))
+            unit = np.frombuffer(b"".join(raw[i] for i in rows)).reshape(-1, dim)
+            code = np.unpackbits(np.frombuffer(b"".join(codes[i] for i in rows), np.uint8).reshape(len(rows), -1), axis=1)
+            signs = np.where(code[:, :dim], 1.0, -1.0) / dim**0.5
+            keys = code[:, : bits * count].reshape(-1, count, bits) @ (1 << np.arange(bits, dtype=np.int64))
+            self.parts[dim] = unit, signs, unit @ rotations(dim, bits * count)[:dim].T, keys
 
     def linked(self, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-        """Those of the pairs that are links and that no earlier table has shown."""
+        """Those of the pairs, all of one length of vector, that are links and that no earlier table has shown."""
         if not len(left):
             return left, right
-        dim = len(self.unit[left[0]])
-        a, b = np.stack([self.unit[i] for i in left]), np.stack([self.unit[i] for i in right])
-        signs = np.where(np.unpackbits(np.frombuffer(b"".join(self.codes[i] for i in left), np.uint8).reshape(len(left), -1), axis=1)[:, :dim], 1.0, -1.0) / dim**0.5
-        factor = self.factor[left]
-        guess = np.einsum("ij,ij->i", signs, b @ rotations(dim, self.bits * self.count)[:dim].T) / factor
+        dim = int(self.dim[left[0]])
+        unit, signs, turned, keys = self.parts[dim]
+        for t in range(int(self.table[left].max())):
+            shown = (self.table[left] > t) & (keys[self.place[left], t] == keys[self.place[right], t])
+            left, right = left[~shown], right[~shown]
+            if not len(left):
+                return left, right
+        a, b, factor = self.place[left], self.place[right], self.factor[left]
+        guess = np.einsum("ij,ij->i", signs[a], turned[b]) / factor
         bound = ERRORS * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / max(dim - 1, 1) ** 0.5
         open_ = guess + bound >= threshold
         left, right, a, b = left[open_], right[open_], a[open_], b[open_]
-        near = np.einsum("ij,ij->i", a, b) >= threshold
-        left, right = left[near], right[near]
-        new = np.array([self.new(i, j) for i, j in zip(left, right)], bool)
-        return left[new], right[new]
-
-    def new(self, i: int, j: int) -> bool:
-        """Whether the cell's table is the first whose key the two share."""
-        table = int.from_bytes(self.at[i][4:8], "big")
-        x = np.unpackbits(np.frombuffer(self.codes[i], np.uint8) ^ np.frombuffer(self.codes[j], np.uint8))[: table * self.bits]
-        return not table or bool(x.reshape(table, self.bits).any(1).all())
+        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
+        return left[near], right[near]
 
     def links(self, threshold: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
         """(vectors linked to each row, edges of a spanning forest)."""
         ends = [i + 1 for i in range(len(self.at)) if i + 1 == len(self.at) or self.at[i + 1] != self.at[i]]
-        start, small, counts, edges, parent = 0, [], {}, [], {}
+        start, edges, total = 0, [], np.zeros(len(self.at), np.int64)
+        parent: dict[int, int] = {}
 
         def root(i: int) -> int:
             while (up := parent.get(i, i)) != i:
@@ -160,9 +165,10 @@ class Cell:
             return i
 
         def keep(left: np.ndarray, right: np.ndarray) -> None:
-            for i, j in zip(*self.linked(left, right, threshold)):
-                i, j = int(i), int(j)
-                counts[i], counts[j] = counts.get(i, 0) + int(self.n[j]), counts.get(j, 0) + int(self.n[i])
+            left, right = self.linked(left, right, threshold)
+            np.add.at(total, left, self.n[right])
+            np.add.at(total, right, self.n[left])
+            for i, j in zip(left.tolist(), right.tolist()):
                 if (a := root(i)) != (b := root(j)):
                     parent[a] = b
                     edges.append((i, j))
@@ -172,7 +178,7 @@ class Cell:
             size = end - start
             if 2 <= size <= SMALL:
                 i, j = np.triu_indices(size, 1)
-                by_dim.setdefault(len(self.unit[start]), []).append(np.stack([i, j]) + start)
+                by_dim.setdefault(int(self.dim[start]), []).append(np.stack([i, j]) + start)
             elif size > SMALL:
                 rows = np.arange(start, end)
                 own = self.side[rows] < self.other[rows]
@@ -193,7 +199,7 @@ class Cell:
             i, j = i[real], j[real]
             for k in range(0, len(i), 65_536):
                 keep(i[k : k + 65_536], j[k : k + 65_536])
-        return counts, edges
+        return {i: int(total[i]) for i in np.flatnonzero(total).tolist()}, edges
 
 
 def met(rows: DataFrame, bits: int, count: int, threshold: float) -> DataFrame:
