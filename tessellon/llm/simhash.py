@@ -141,7 +141,8 @@ def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, key: str =
     """
     prints, groups = grouped(df, distance, words, key, text, blocks, dense)
     lowest = groups.groupBy("component").agg(F.min("low").alias("lowest"))
-    named = groups.join(lowest, "component").select("fp", "lowest")
+    # written, so that both sides of the last join come straight from a shuffle and a fingerprint of many copies can be split
+    named, _ = written(groups.join(lowest, "component").select("fp", "lowest"), "simhash-named")
     return prints.join(named, "fp").select(F.col("id").alias(key), "fp", F.col("lowest").alias("component"))
 
 
