@@ -159,7 +159,8 @@ def deduplicated(df: DataFrame, distance: int = 4, words: int = 4, key: str = "d
     def print_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t, words))
 
-    rows = bounded(df).select(F.struct(*df.columns).alias("row"), print_of(df[text]).alias("fp"))
+    # called nondeterministic so that no filter is pushed below it, which would compute it twice
+    rows = bounded(df).select(F.struct(*df.columns).alias("row"), print_of.asNondeterministic()(df[text]).alias("fp"))
     # for one fingerprint the hash of an integer key is that key's alone, so both name the row, null keys included
     rows = rows.select("row", "fp", F.xxhash64(F.col("row")[key], F.col("fp")).alias("h"))
     first = F.row_number().over(Window.partitionBy("h", "fp").orderBy("h"))
