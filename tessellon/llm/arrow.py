@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: The most that an Arrow batch to Python holds: rows, and bytes beyond which no row is added.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
@@ -36,8 +38,9 @@ def map_texts(df: DataFrame, key: str, text: str, fields: str, per_batch: Callab
         for batch in batches:
             if batch.num_rows:
                 columns = per_batch(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) if any(x is not None for x in c) else c for c in columns)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns, kinds)], names=names)
 
     schema = f"{key} {kind}, {fields}"
     names = [key, *(f.split()[0] for f in fields.split(", "))]
+    kinds = [to_arrow_type(f.dataType) for f in StructType.fromDDL(fields)]
     return base.mapInArrow(run, schema)
