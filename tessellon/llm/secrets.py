@@ -68,9 +68,11 @@ def candidates(text: str | None) -> list[Finding]:
     """Proposed spans in code points, leftmost first, none inside another of an earlier pattern."""
     text = text or ""
     found: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text))
 
     def add(start: int, end: int, kind: str) -> None:
-        if not any(a < end and start < b for a, b, _ in found[-200:]):
+        if taken.find(1, start, end) < 0:
+            taken[start:end] = b"\1" * (end - start)
             found.append((start, end, kind))
 
     if any(map(text.__contains__, _MARKS)):
