@@ -31,5 +31,11 @@ def score(docs: DataFrame, machine: fm.Machine, **columns: str) -> DataFrame:
 
 
 def kept(docs: DataFrame, machine: fm.Machine, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``; their columns stay as they are."""
+    """The rows of ``docs`` whose text scores below ``threshold``; their columns stay as they are.
+
+    A machine that has learned no feature (no labelled row, or rows of one label only)
+    scores all texts alike and cannot tell them apart, so it rejects none.
+    """
+    if not machine.place:
+        return docs
     return bounded(docs).where(fm.score_column(machine, terms)(docs[text]) < threshold)

@@ -88,3 +88,10 @@ def test_no_labels_know_nothing(spark):
     docs = spark.createDataFrame(documents(), COLUMNS)
     machine = toxicity.learn(docs, labels, fm.remainder(F.col("doc_id"), 5) != 0)
     assert {r.score for r in toxicity.score(docs, machine).collect()} == {0.5}
+
+
+def test_a_machine_that_knows_nothing_rejects_nothing(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(documents(), COLUMNS)
+    out = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.count() == docs.count()
