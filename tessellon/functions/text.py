@@ -46,11 +46,11 @@ def combined_similarity(cosine: Column, trigram: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """Whitespace collapsed and trimmed, and the marks of tokenised corpora undone."""
-    out = F.trim(F.regexp_replace(text, r"\s+", " "))
-    for mark, plain in (("<unk>", ""), (" @-@ ", "-"), (" @,@ ", ","), (" @.@ ", "."), ("“", '"'), ("”", '"'), ("’", "'"), ("‘", "'")):
+    """Whitespace collapsed and trimmed, then the marks of tokenised corpora undone; blanks that a dropped mark leaves stay."""
+    out = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^ | $", "")
+    for mark, plain in (("<unk>", ""), ("@-@", "-"), (" @,@ ", ", "), (" @.@ ", ". "), ("“", '"'), ("”", '"'), ("’", "'"), ("‘", "'")):
         out = F.replace(out, F.lit(mark), F.lit(plain))
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return out
 
 
 def triplets(text: Column) -> Column:
@@ -70,7 +70,7 @@ def entity_names(text: Column) -> Column:
 
 def merge_decision(text: Column) -> Column:
     """Struct (decision, name, confidence, reasoning) of an answer's lines; the last line of a kind counts."""
-    last = lambda name: F.element_at(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_extract(x, rf"(?i)^\s*{name}\s*:\s*(.*?)\s*$", 1)), lambda x: x != ""), -1)
+    last = lambda name: F.try_element_at(F.filter(F.transform(F.split(text, r"\R"), lambda x: F.regexp_extract(x, rf"(?i)^\s*{name}\s*:\s*(.*?)\s*$", 1)), lambda x: x != ""), F.lit(-1))
     blank = lambda c: F.when(F.upper(c) == "N/A", "").otherwise(F.coalesce(c, F.lit("")))
     return F.struct(
         (F.upper(F.coalesce(last("Decision"), F.lit("NO"))) == "YES").alias("merge"),
@@ -80,24 +80,23 @@ def merge_decision(text: Column) -> Column:
     )
 
 
-#: Names that must not be merged: numbers, dates, money, shares, measures and times. Some forms only need to begin a name.
-MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
+#: Names that must not be merged, in lower case. Dates, money and shares need only begin a name.
 NON_MERGEABLE = (
-    r"^[0-9]+([.,][0-9]+)*$",
-    r"^[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}",
-    rf"^({MONTHS})\.? ?[0-9]{{0,4}}(,? [0-9]{{2,4}})?$",
-    rf"^[0-9]{{1,2}}(st|nd|rd|th)? ({MONTHS})",
-    r"^[$€£¥] ?[0-9]",
-    r"^[0-9]+([.,][0-9]+)? ?%",
-    r"^[0-9]+([.,][0-9]+)? ?(km|m|cm|mm|kg|g|mg|lb|lbs|mi|ft|l|ml|gb|mb|kb|tb)$",
-    r"^[0-9]+:[0-9]+$",
-    r"^[0-9]+([.,][0-9]+)? ?(million|billion|trillion|thousand|dollars|euros|usd|eur)",
+    r"^(january|february|march|april|may|june|july|august|september|october|november|december)(\s+\d{1,2}(,?\s+\d{4})?|\s+\d{4})",
+    r"^(\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}-\d{1,2}-\d{2,4})",
+    r"^\d{4}$",
+    r"^(\$?\d+(\.\d+)?\s*(million|billion|trillion|thousand|m|b|t|k)|\d+(\.\d+)?\s*(million|billion|trillion|thousand))",
+    r"^(\d+(\.\d+)?\s*percent|\d+(\.\d+)?%)",
+    r"^\d+$",
+    r"^\d+\.\d+$",
+    r"^\d+:\d+$",
+    r"^\d+(\.\d+)?\s*(km|m|cm|mm|mi|ft|in|kg|g|mg|lb|oz|l|ml|gal|hrs?|min|sec)$",
 )
 
 
 def mergeable(name: Column) -> Column:
     """Whether a name may be merged with others; blank and null names may not."""
-    low = F.lower(F.trim(name))
+    low = F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
     return F.coalesce((low != "") & ~low.rlike("|".join(f"(?:{p})" for p in NON_MERGEABLE)), F.lit(False))
 
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 import difflib
 import re
 from collections.abc import Callable, Iterator
-from math import log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,14 +23,14 @@ from tessellon.functions.similarity import split_sentences
 from tessellon.operators.embedding import hash_embed
 
 SEPARATORS = ("\n\n", "\n", ".", "?", "!", " ", "")
-#: Where source code and markup divide, coarse to fine, as regular expressions.
+#: Where source code and markup divide, coarse to fine, as regular expressions. The first that occurs divides, so order matters.
 LANGUAGES = {
-    "cpp": (r"\nclass ", r"\nstruct ", r"\nnamespace ", r"\nvoid ", r"\nint ", r"\nif ", r"\nfor ", r"\nwhile ", r"\n\n", r"\n", r" ", r""),
-    "go": (r"\nfunc ", r"\ntype ", r"\nvar ", r"\nconst ", r"\nif ", r"\nfor ", r"\nswitch ", r"\n\n", r"\n", r" ", r""),
-    "java": (r"\nclass ", r"\ninterface ", r"\npublic ", r"\nprotected ", r"\nprivate ", r"\nstatic ", r"\nif ", r"\nfor ", r"\n\n", r"\n", r" ", r""),
-    "python": (r"\nclass ", r"\ndef ", r"\n\tdef ", r"\n    def ", r"\n\n", r"\n", r" ", r""),
-    "js": (r"\nfunction ", r"\nclass ", r"\nconst ", r"\nlet ", r"\nvar ", r"\nif ", r"\nfor ", r"\n\n", r"\n", r" ", r""),
-    "markdown": (r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", r" ", r""),
+    "cpp": ("\nclass ", "\nvoid ", "\nint ", "\nfloat ", "\ndouble ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""),
+    "go": ("\nfunc ", "\nvar ", "\nconst ", "\ntype ", "\nif ", "\nfor ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""),
+    "java": ("\nclass ", "\npublic ", "\nprotected ", "\nprivate ", "\nstatic ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\n\n", "\n", " ", ""),
+    "python": ("\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", ""),
+    "js": ("\nfunction ", "\nconst ", "\nlet ", "\nvar ", "\nclass ", "\nif ", "\nfor ", "\nwhile ", "\nswitch ", "\ncase ", "\ndefault ", "\n\n", "\n", " ", ""),
+    "markdown": ("\n#{1,6} ", "```\n", "\n\\*\\*\\*+\n", "\n---+\n", "\n___+\n", "\n\n", "\n", " ", ""),
 }
 FIELDS = "chunk_no int, content string, tokens int, type string, start int, `end` int"
 
@@ -125,42 +125,43 @@ def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str,
             yield bare, a, a + len(bare)
 
 
-def segments(similarity: np.ndarray, most: int, sizes: list[int] | None = None, budget: int | None = None, bonus: float = 0.0) -> list[tuple[int, int]]:
-    """The division of a sequence into runs of at most ``most`` (or a token budget) with the largest sum of inner similarity.
+def mean_similarity(vectors: np.ndarray) -> float:
+    """The mean inner product over all pairs of rows, by the square of their sum."""
+    n, total = len(vectors), vectors.sum(0)
+    return float((total @ total - (vectors**2).sum()) / (n * (n - 1))) if n > 1 else 0.0
 
-    Every prefix's best value starts at minus infinity, so runs never pass the cap; a
-    single item is always a run.
+
+def segments(vectors: np.ndarray, most: int, sizes: list[int] | None = None, budget: int | None = None, bonus: float = 0.0) -> list[tuple[int, int]]:
+    """The division of rows into runs of at most ``most`` (or a token budget) with the largest sum of inner similarity.
+
+    A pair's similarity is its inner product less the mean over all pairs. A run's sum is
+    the square of its rows' sum without the rows' own squares, so prefix sums give it and
+    no matrix of pairs is held. Every prefix's best value starts at minus infinity, so
+    runs never pass the cap; a single item is always a run.
     """
-    n = len(similarity)
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = similarity.cumsum(0).cumsum(1)
-    best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+    n, mean = len(vectors), mean_similarity(vectors)
+    sums = np.concatenate([np.zeros((1, vectors.shape[1])), vectors.cumsum(0)])
+    squares = np.concatenate([[0.0], (vectors**2).sum(1).cumsum()])
+    used = np.concatenate([[0], np.cumsum(sizes)]) if sizes else None
+    best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, np.int64)
+    best[0] = 0.0
     for end in range(1, n + 1):
-        used = 0
-        for start in range(end - 1, max(-1, end - 1 - most), -1):
-            used += sizes[start] if sizes else 0
-            if budget is not None and used > budget and start < end - 1:
-                break
-            reward = total[end, end] - total[start, end] - total[end, start] + total[start, start] + bonus * log(end - start)
-            if best[start] + reward > best[end]:
-                best[end], back[end] = best[start] + reward, start
+        low = max(0, end - most)
+        if budget is not None:
+            low = min(max(low, int(np.searchsorted(used, used[end] - budget))), end - 1)
+        starts = np.arange(low, end)
+        length = end - starts
+        inner = ((sums[end] - sums[low:end]) ** 2).sum(1) - (squares[end] - squares[low:end])
+        value = best[low:end] + inner - mean * (length * (length - 1)) + bonus * np.log(length)
+        at = len(value) - 1 - int(np.argmax(value[::-1]))
+        best[end], back[end] = value[at], starts[at]
     out, end = [], n
     while end:
-        out.append((back[end], end))
-        end = back[end]
+        out.append((int(back[end]), end))
+        end = int(back[end])
     return out[::-1]
 
 
-def centred_similarity(texts: list[str], embed: Callable[[list[str]], np.ndarray]) -> np.ndarray:
-    """Cosine similarities less the mean over pairs, with a zero diagonal."""
-    v = embed(texts)
-    s = v @ v.T
-    upper = s[np.triu_indices(len(texts), 1)]
-    s = s - (upper.mean() if len(upper) else 0.0)
-    np.fill_diagonal(s, 0.0)
-    return s
-
-
 def merged_small(parts: list[Piece], most: int, least: int, text: str) -> Iterator[Piece]:
     """Neighbours joined where together they stay within ``most`` and one of them is below ``least`` tokens."""
     held: Piece | None = None
@@ -180,7 +181,7 @@ def cluster_pieces(text: str, most: int = 400, least: int = 50, join_below: int
     """Small recursive pieces, grouped into runs of similar neighbours."""
     small = list(recursive_pieces(text, least, 0))
     if len(small) > 1:
-        runs = segments(centred_similarity([p[0] for p in small], embed), max(1, most // least))
+        runs = segments(embed([p[0] for p in small]), max(1, most // least))
         small = [(" ".join(p[0] for p in small[a:b]), small[a][1], small[b - 1][2]) for a, b in runs]
     yield from merged_small(small, most, join_below, text)
 
@@ -190,35 +191,106 @@ def semantic_pieces(text: str, most: int = 400, join_below: int = 60, embed: Cal
     sentences = split_sentences(text)
     if not sentences:
         return
-    runs = segments(centred_similarity(sentences, embed), len(sentences), [count_tokens(s) for s in sentences], most, 0.2)
+    runs = segments(embed(sentences), len(sentences), [count_tokens(s) for s in sentences], most, 0.2)
     parts = [(" ".join(sentences[a:b]), -1, -1) for a, b in runs]
     yield from merged_small(parts, most, join_below, text)
 
 
-def locate(text: str, part: str, since: int = 0, least: float = 0.8) -> tuple[int, int] | None:
-    """Where a part stands in a text: exactly, with other whitespace, by its first words, or by the likest window.
+def _loose(words: list[str]) -> re.Pattern:
+    return re.compile(r"\s+".join(map(re.escape, words)))
+
+
+def _alike(a: str, b: str, least: float) -> float:
+    """The similarity of two texts in lower case, 0 where it is below ``least``."""
+    matcher = difflib.SequenceMatcher(None, a.lower(), b.lower(), autojunk=False)
+    if matcher.real_quick_ratio() < least or matcher.quick_ratio() < least:
+        return 0.0
+    score = matcher.ratio()
+    return score if score >= least else 0.0
+
+
+def _by_window(text: str, part: str, least: float) -> tuple[int, int] | None:
+    """The likest window of the part's length, of those at the places where its rarest word stands."""
+    rare = min(part.split(), key=lambda w: (text.count(w) or len(text), -len(w)))
+    ahead, best = part.find(rare), (0.0, None)
+    for m in re.finditer(re.escape(rare), text):
+        a = max(0, m.start() - ahead)
+        window = text[a : a + len(part)]
+        if (score := _alike(part, window, max(least, best[0]))) > best[0]:
+            best = (score, (a, a + len(window)))
+    return best[1]
+
 
-    The last way compares windows at the places where one of the part's words stands, so
-    it looks at no more of them than those words occur.
+def _by_head(text: str, part: str, size: int = 50, least: float = 0.8) -> tuple[int, int] | None:
+    """The part's first characters, carried on to the part's length or a tenth more or less."""
+    if len(part) <= 2 * size or not (words := part[:size].split()) or not (m := _loose(words).search(text)):
+        return None
+    for share in (1.0, 1.1, 0.9):
+        end = m.start() + int(len(part) * share)
+        if end <= len(text) and _alike(part, text[m.start() : end], least):
+            return m.start(), end
+    return None
+
+
+def _by_sentence(text: str, part: str, least: float = 0.85) -> tuple[int, int] | None:
+    """The likest sentence or line."""
+    best = (0.0, None)
+    for m in re.finditer(r"[^.!?\n]+", text):
+        sentence = m.group().strip()
+        if sentence and (score := _alike(part, sentence, max(least, best[0]))) > best[0]:
+            a = text.index(sentence, m.start())
+            best = (score, (a, a + len(sentence)))
+    return best[1]
+
+
+def _by_pieces(text: str, part: str, size: int = 100, least: float = 0.75) -> tuple[int, int] | None:
+    """Around the first piece of the part that stands in the text, where what is there is like the whole part."""
+    if len(part) <= 2 * size:
+        return None
+    for at in range(0, len(part) - size, size // 2):
+        if not (words := part[at : at + size].split()) or not (m := _loose(words).search(text)):
+            continue
+        a = max(0, m.start() - at)
+        b = min(len(text), a + len(part))
+        if _alike(part, text[a:b], least):
+            return a, b
+    return None
+
+
+def locate(text: str | None, part: str | None, since: int = 0, least: float = 0.8) -> tuple[int, int] | None:
+    """Where a part stands in a text, by the first way that finds it.
+
+    The ways are: exactly; with other whitespace; with other case too; once marks of
+    tokenised corpora are undone in both; the likest window; its first 50 characters; the
+    likest sentence; a piece of 100 characters. Windows are compared only where one of the
+    part's words stands. Null and blank parts stand nowhere.
     """
-    if not part.strip():
+    if not text or not part or not part.strip():
         return None
     if (at := text.find(part, since)) >= 0:
         return at, at + len(part)
     words = part.split()
-    loose = re.compile(r"\s+".join(map(re.escape, words)))
-    if m := loose.search(text, since) or re.compile(loose.pattern, re.IGNORECASE).search(text, since):
+    if m := _loose(words).search(text, since) or re.compile(_loose(words).pattern, re.IGNORECASE).search(text, since):
         return m.span()
-    best = (least, None)
-    rare = min(words, key=lambda w: (text.count(w) or len(text), -len(w)))
-    ahead = part.find(rare)
-    for m in re.finditer(re.escape(rare), text):
-        a = max(0, m.start() - ahead)
-        window = text[a : a + len(part)]
-        matcher = difflib.SequenceMatcher(None, part, window, autojunk=False)
-        if matcher.quick_ratio() > best[0] and (score := matcher.ratio()) > best[0]:
-            best = (score, (a, a + len(window)))
-    return best[1]
+    if m := re.compile(r"\s*".join(map(re.escape, re.findall(r"\w+|[^\w\s]", _unmarked(part)))).replace("\\-", "(?:@?-@?)").replace(",", "(?:@?,@?)").replace("\\.", "(?:@?\\.@?)")).search(text, since):
+        return m.span()
+    return _by_window(text, part, least) or _by_head(text, part) or _by_sentence(text, part) or _by_pieces(text, part)
+
+
+def _unmarked(part: str) -> str:
+    for mark, plain in (("<unk>", ""), ("@-@", "-"), ("@,@", ","), ("@.@", ".")):
+        part = part.replace(mark, plain)
+    return part
+
+
+def located(df: DataFrame, text: str, part: str) -> DataFrame:
+    """``df`` with ``start`` and ``end`` of a part in a text, null where it is not found."""
+
+    @F.pandas_udf("start int, end int")
+    def run(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([locate(t, p) or (None, None) for t, p in zip(texts, parts)], columns=["start", "end"]).astype("Int32")
+
+    return df.withColumn("__at", run(F.col(text), F.col(part))).select(*df.columns, F.col("__at.start").alias("start"), F.col("__at.end").alias("end"))
 
 
 def chunk_with(df: DataFrame, pieces: Callable[[str], Iterator[Piece]], kind: str, key: str = "doc_id", text: str = "text") -> DataFrame:

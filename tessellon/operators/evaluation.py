@@ -18,6 +18,16 @@ def relevance(hits: DataFrame, chunk: str, document: str) -> DataFrame:
     return hits.select("*", jaccard.alias("jaccard"), bidir.alias("bidir"), F.coalesce((F.contains(a, b) | F.contains(b, a)).cast("int"), F.lit(0)).alias("relevant"))
 
 
+def lenient_relevance(hits: DataFrame, chunk: str, document: str, least: float = 0.3) -> DataFrame:
+    """``hits`` with overlap (the share of the document's words that the chunk has, 1 where one holds the other) and relevant by it."""
+    a, b = F.lower(F.trim(F.col(chunk))), F.lower(F.trim(F.col(document)))
+    x, y = F.array_distinct(tx.tokens(a)), F.array_distinct(tx.tokens(b))
+    share = F.when(F.size(y) > 0, F.size(F.array_intersect(x, y)) / F.size(y)).otherwise(F.lit(0.0))
+    held = F.coalesce((F.contains(a, b) | F.contains(b, a)) & (F.size(y) > 0), F.lit(False))
+    overlap = F.when(held, F.lit(1.0)).otherwise(share)
+    return hits.select("*", overlap.alias("overlap"), (overlap >= least).cast("int").alias("relevant"))
+
+
 def precision_recall(questions: DataFrame, hits: DataFrame, truth: DataFrame, ks: tuple[int, ...], query_id: str = "query_id", item: str = "doc_id") -> DataFrame:
     """(query_id, k, precision, recall, f1) of ranked hits (query_id, item, rank) against relevant items.
 

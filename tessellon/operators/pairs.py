@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessellon.functions import text as tx
-from tessellon.operators.search import unit_rows
+from tessellon.operators.search import semantic_search, unit_rows
+from tessellon.session import written
 
 #: Vectors in one side of a block pair.
 BLOCK = 4_096
@@ -20,7 +21,8 @@ def all_pairs(df: DataFrame, threshold: float, top_k: int | None = None, id_col:
     """(u, v, sim), u < v, of all vectors with cosine at or above the threshold.
 
     Rows are dealt to blocks by a hash; each pair of blocks is one task, which multiplies
-    two bounded matrices. With ``top_k`` a pair stays only if v is among the k nearest of u.
+    two bounded matrices. With ``top_k`` a pair stays only if v, the larger id, is among
+    the k vectors nearest to u of all vectors, smaller ids and u itself included.
     """
     rows = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("x"))
     n = max(1, -(-rows.count() // block))
@@ -48,8 +50,10 @@ def all_pairs(df: DataFrame, threshold: float, top_k: int | None = None, id_col:
     pairs = dealt.groupBy("i", "j").applyInPandas(run, f"u {kind}, v {kind}, sim double")
     if top_k is None:
         return pairs
+    found, _ = written(pairs, "all-pairs")  # both directions read it
+    both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
     near = Window.partitionBy("u").orderBy(F.col("sim").desc(), "v")
-    return pairs.withColumn("__r", F.row_number().over(near)).where(F.col("__r") <= top_k).drop("__r")
+    return both.withColumn("__r", F.row_number().over(near)).where((F.col("__r") < top_k) & (F.col("u") < F.col("v"))).drop("__r")
 
 
 def all_pairs_hashed(df: DataFrame, threshold: float, id_col: str = "vec_id", vector: str = "embedding", bits: int = 6, tables: int = 48, seed: int = 5) -> DataFrame:
@@ -97,3 +101,16 @@ def scored_pairs(pairs: DataFrame, entities: DataFrame, cosine: str, id_col: str
     trigram: Column = tx.trigram_similarity(F.col("u_name"), F.col("v_name"))
     out = pairs.join(a, "u").join(b, "v").withColumn("trigram", trigram)
     return out.withColumn("combined", tx.combined_similarity(F.col(cosine), F.col("trigram")))
+
+
+def batch_pairs(entities: DataFrame, batch: DataFrame, least_cosine: float, least_trigram: float, stop_words: tuple[str, ...] = (), id_col: str = "id", name: str = "name", vector: str = "embedding") -> DataFrame:
+    """(source, target, semantic, lexical, combined) of a batch (query_id, embedding) and all other entities, above both thresholds.
+
+    ``lexical`` compares the trigrams of the names' terms without the stop words.
+    """
+    near = semantic_search(entities, batch, None, id_col, vector, exclude_same=True, least=least_cosine).select(F.col("query_id").alias("source"), F.col(id_col).alias("target"), F.col("score").alias("semantic"))
+    own = tx.trigrams(F.array_join(tx.terms(F.col(name), stop_words), " "))
+    of = lambda c: entities.select(F.col(id_col).alias(c), own.alias(f"__{c}"))
+    lexical = tx.set_jaccard(F.col("__source"), F.col("__target"))
+    out = near.join(of("source"), "source").join(of("target"), "target").withColumn("lexical", lexical).where(F.col("lexical") >= least_trigram)
+    return out.select("source", "target", "semantic", "lexical", tx.combined_similarity(F.col("semantic"), F.col("lexical")).alias("combined"))

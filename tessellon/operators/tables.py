@@ -7,14 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellon.session import written
+
 
 def numbered(df: DataFrame, order: list[str], name: str, first: Column | int = 1) -> DataFrame:
     """``df`` with consecutive ids in the order of a natural key.
 
     Ids are a range partition's offset plus the place within it, so no task sees all rows.
+    Places are written before offsets are summed, so both speak of the same partitions.
     """
     spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    place = spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    place, _ = written(spread.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*order))), "numbered")
     before = place.groupBy("__p").agg(F.max("__n").alias("__c"))
     offset = before.withColumn("__o", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     start = F.lit(first) if isinstance(first, int) else first
@@ -34,6 +37,11 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
 
 
+def inserted(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows added as they are, repeats included."""
+    return existing.unionByName(new.select(*existing.columns))
+
+
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which the condition does not hold, unknown included."""
     return df.where(~F.coalesce(condition, F.lit(False)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
-from tessellon.operators import evaluation, ranges, search, tables
+from tessellon.operators import chunking, evaluation, ranges, search, tables
 from tessellon.plans import inputs
 from tessellon.plans.inputs import TERMS, cte
 from tessellon.session import table
@@ -69,7 +69,7 @@ def term_postings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_match_and(spark: SparkSession, sf: str) -> DataFrame:
-    return inputs.keyword_hits(spark, sf)
+    return inputs.keyword_hits(spark, sf).select("query_id", "doc_id", F.round("cover", 9).alias("cover"), "rank")
 
 
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,12 +77,38 @@ def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rerank_topk(spark: SparkSession, sf: str) -> DataFrame:
-    hits = inputs.hybrid_hits(spark, sf, 20).join(inputs.items(spark, sf), "query_id")
-    hits = hits.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("document")), "doc_id")
-    out = search.rerank(hits, search.term_overlap, "text", "document", 10)
+    out = inputs.reranked(spark, sf, inputs.hybrid_hits(spark, sf), 20, 10)
+    return out.select("query_id", "doc_id", "rank", F.round("rerank_score", 9).alias("rerank_score"), "rerank_rank")
+
+
+def semantic_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred documents nearest to each item, reranked to ten."""
+    out = inputs.reranked(spark, sf, inputs.semantic_hits(spark, sf), 100, 10)
     return out.select("query_id", "doc_id", "rank", F.round("rerank_score", 9).alias("rerank_score"), "rerank_rank")
 
 
+def chunk_retrieval(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of one kind within a token budget, in four ways: semantic and hybrid, reranked or not."""
+    store = search.Retriever(inputs.chunk_table(spark, sf), budget=250)
+    asked, out = inputs.item_questions(spark, sf), None
+    for name, way in (("semantic", store.semantic), ("hybrid", store.hybrid)):
+        for again in (False, True):
+            part = way(asked, "token", 10, again).select(F.lit(name + "_reranked" * again).alias("way"), "query_id", "chunk_id", "document_id", "rank", "running_tokens", F.round("score", 9).alias("score"))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_debug(spark: SparkSession, sf: str) -> DataFrame:
+    """The score of every vector for one question."""
+    return search.scored_rows(table(spark, sf, "embeddings"), inputs.vector_of(spark, sf, 0)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def locate_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the items stand in the documents that hold them."""
+    both = inputs.truth(spark, sf).join(inputs.items(spark, sf), "query_id").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("document")), "doc_id")
+    return chunking.located(both, "document", "text").select("query_id", "doc_id", "start", "end")
+
+
 def relevance_substring(spark: SparkSession, sf: str) -> DataFrame:
     hits = inputs.hybrid_hits(spark, sf, 5).join(inputs.items(spark, sf), "query_id")
     hits = hits.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("document")), "doc_id")
@@ -90,6 +116,13 @@ def relevance_substring(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.round("jaccard", 9).alias("jaccard"), F.round("bidir", 9).alias("bidir"), "relevant")
 
 
+def lenient_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    hits = inputs.hybrid_hits(spark, sf, 5).join(inputs.items(spark, sf), "query_id")
+    hits = hits.join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("document")), "doc_id")
+    out = evaluation.lenient_relevance(hits, "document", "text")
+    return out.select("query_id", "doc_id", F.round("overlap", 9).alias("overlap"), "relevant")
+
+
 def precision_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
     out = evaluation.precision_recall(inputs.items(spark, sf), inputs.hybrid_hits(spark, sf), inputs.truth(spark, sf), (1, 3, 5, 10))
     return out.select("query_id", "k", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
@@ -100,36 +133,65 @@ def mrr_map_hit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("query_id", F.round("mrr", 9).alias("mrr"), F.round("ap", 9).alias("ap"), "hit")
 
 
-def strategy_results(spark: SparkSession, sf: str) -> DataFrame:
+STRATEGIES = ["semantic_basic", "semantic_reranked", "hybrid_basic", "hybrid_reranked"]
+
+
+def _strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of each item under each strategy, with the tokens of what it found and whether that is anything."""
     asked, want, out = inputs.items(spark, sf), inputs.truth(spark, sf), None
-    for name, hits in (("hybrid", inputs.hybrid_hits(spark, sf)), ("keyword", inputs.keyword_hits(spark, sf)), ("semantic", inputs.semantic_hits(spark, sf))):
-        part = evaluation.ranking_metrics(asked, hits, want).withColumn("strategy", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    sem, hyb = inputs.semantic_hits(spark, sf), inputs.hybrid_hits(spark, sf)
+    sizes = table(spark, sf, "documents").select("doc_id", tx.token_count(F.col("text")).alias("tokens"))
+    again = lambda hits: inputs.reranked(spark, sf, hits, 20, 10).select("query_id", "doc_id", F.col("rerank_rank").alias("rank"))
+    for name, hits in zip(STRATEGIES, (sem.where("rank <= 10"), again(sem), hyb.where("rank <= 10"), again(hyb))):
+        hits = hits.select("query_id", "doc_id", "rank", F.lit(name).alias("strategy"))
+        out = hits if out is None else out.unionByName(hits)
+    hits = inputs.stored(spark, sf, "strategy-hits", lambda: out.join(sizes, "doc_id"))
+    every = asked.select("query_id", F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy")).select(F.struct("strategy", "query_id").alias("key"))
+    keyed = hits.select(F.struct("strategy", "query_id").alias("key"), "doc_id", "rank", "tokens")
+    wanted = want.select(F.explode(F.array(*map(F.lit, STRATEGIES))).alias("strategy"), "query_id", "doc_id").select(F.struct("strategy", "query_id").alias("key"), "doc_id")
+    scored = evaluation.ranking_metrics(every, keyed, wanted, "key")
+    length = keyed.groupBy("key").agg(F.sum("tokens").alias("context_length"))
+    out = scored.join(length, "key", "left").select("key.strategy", "key.query_id", "mrr", "ap", "hit", F.coalesce("context_length", F.lit(0)).alias("context_length"), F.col("context_length").isNotNull().cast("int").alias("success"))
     return out.withColumn("dataset", F.concat(F.lit("d"), F.col("query_id") % 3))
 
 
+def strategy_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _strategies(spark, sf).select("strategy", "dataset", "query_id", F.round("mrr", 9).alias("mrr"), F.round("ap", 9).alias("ap"), "hit", "context_length", "success")
+
+
 def metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluation.metric_rollup(strategy_results(spark, sf), "strategy", "dataset", ["mrr", "ap", "hit"])
-    return out.select("strategy", "dataset", "questions", *(F.round(c, 6).alias(c) for c in ("mrr", "ap", "hit")))
+    out = evaluation.metric_rollup(_strategies(spark, sf), "strategy", "dataset", ["mrr", "ap", "hit", "context_length", "success"])
+    return out.select("strategy", "dataset", "questions", *(F.round(c, 6).alias(c) for c in ("mrr", "ap", "hit", "context_length", "success")))
 
 
 def metric_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluation.metric_summary(strategy_results(spark, sf), "strategy", "mrr")
-    return out.select("strategy", *(F.round(c, 6).alias(c) for c in ("mean", "median", "std", "std_sample", "perfect")))
+    out = evaluation.metric_summary(_strategies(spark, sf), "strategy", "mrr")
+    return out.select("strategy", *(F.round(c, 6).alias(c) for c in ("mean", "median", "std", "std_sample", "perfect")), evaluation.in_band(F.col("mean"), 0.2, 0.7).alias("realistic"))
 
 
 def metric_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    names = ["hybrid", "keyword", "semantic"]
-    rounded = strategy_results(spark, sf)
-    out = evaluation.metric_pivot(rounded, "dataset", "strategy", "mrr", names)
-    return out.select("dataset", *(F.round(c, 6).alias(c) for c in names), "best")
+    out = evaluation.metric_pivot(_strategies(spark, sf), "dataset", "strategy", "mrr", STRATEGIES)
+    return out.select("dataset", *(F.round(c, 6).alias(c) for c in STRATEGIES), "best")
+
+
+def dimension_study(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean precision and recall of vectors cut to fewer dimensions; vectors of an equal label are relevant."""
+    e, out = table(spark, sf, "embeddings"), None
+    want = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select("vec_id", "label"), "label").where("vec_id <> query_id").select("query_id", "vec_id")
+    for dims in (16, 32, 64):
+        cut = e.withColumn("embedding", vx.truncate(F.col("embedding"), dims, True))
+        asked = cut.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        scores = evaluation.precision_recall(asked, search.dot_search(cut, asked, 20), want, (1, 5, 20), item="vec_id")
+        part = scores.groupBy("k").agg(F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("recall"), 6).alias("recall")).select(F.lit(dims).alias("dims"), "k", "precision", "recall")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def idset_precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
     asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("wanted"))
     hits = search.semantic_search(e, asked.select("query_id", "embedding"), 20, exclude_same=True)
-    want = e.join(F.broadcast(asked.select("query_id", "wanted")), F.col("label") == F.col("wanted")).where("vec_id <> query_id").select("query_id", "vec_id")
+    want = e.join(asked.select("query_id", "wanted"), F.col("label") == F.col("wanted")).where("vec_id <> query_id").select("query_id", "vec_id")
     out = evaluation.precision_recall(asked, hits, want, (1, 5, 10, 20), item="vec_id")
     return out.select("query_id", "k", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
 
@@ -186,10 +248,32 @@ _UNION_SQL = """SELECT doc_id, min(s)::INT AS s, max(e)::INT AS e FROM (SELECT *
 _METRICS = """SELECT i.query_id, coalesce(1.0::DOUBLE / f, 0) AS mrr, CASE WHEN n > 0 THEN coalesce(total / n, 0) ELSE 0 END AS ap, (f IS NOT NULL)::INT AS hit
   FROM items i LEFT JOIN (SELECT query_id, min(rank) AS f, sum(nth / rank) AS total FROM (SELECT h.query_id, h.rank, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank)::DOUBLE AS nth FROM {0} h JOIN truth USING (query_id, doc_id)) g GROUP BY query_id) r USING (query_id)
   LEFT JOIN (SELECT query_id, count(*) AS n FROM truth GROUP BY query_id) w USING (query_id)"""
-_ALL = "res AS (" + " UNION ALL ".join(f"SELECT *, '{n}' AS strategy, 'd' || (query_id % 3) AS dataset FROM ({_METRICS.format(h)}) {n}" for n, h in (("hybrid", "hyb"), ("keyword", "key"), ("semantic", "sem"))) + ")\n"
-_RES = cte("hyb", "truth").rstrip() + ",\n" + _ALL
+_HITS = {"semantic_basic": "sem", "semantic_reranked": "rsem", "hybrid_basic": "hyb", "hybrid_reranked": "rhyb"}
+_FOUND = "(SELECT query_id, doc_id, rank FROM {0} WHERE rank <= 10)"
+_ONE = """SELECT '{1}' AS strategy, 'd' || (query_id % 3) AS dataset, m.*, coalesce(c.n, 0) AS context_length, (c.n IS NOT NULL)::INT AS success FROM ({2}) m
+  LEFT JOIN (SELECT query_id, sum(len(t))::BIGINT AS n FROM {0} JOIN tok USING (doc_id) GROUP BY 1) c USING (query_id)"""
+_RES = cte("rsem", "rhyb", "truth", "tok").rstrip() + ",\nres AS (" + " UNION ALL ".join(_ONE.format(_FOUND.format(h), n, _METRICS.format(_FOUND.format(h))) for n, h in _HITS.items()) + ")\n"
 _TOP = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id, q.label AS wanted, c.label, list_cosine_similarity(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id AND q.vec_id % 100 = 0)"
 
+_CHUNK_WAY = """SELECT '{1}' AS way, query_id, chunk_id, document_id, rank, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS running_tokens, round(score, 9) AS score FROM {0} JOIN c USING (chunk_id) QUALIFY running_tokens <= 250"""
+_CHUNK_AGAIN = "SELECT query_id, chunk_id, x AS score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, r0, chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, h.rank AS r0, len(list_intersect(qt.t, c.t))::DOUBLE / len(qt.t) AS x FROM {0} h JOIN qt USING (query_id) JOIN c USING (chunk_id) WHERE h.rank <= 20) QUALIFY rank <= 10"
+_CHUNKS = (
+    cte("ct", "qt", "asked").rstrip()
+    + f""",
+ c AS MATERIALIZED (SELECT chunk_id, document_id, tokens, v, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+') AS words, list_distinct(words) AS t FROM ct WHERE type = 'token'),
+ s0 AS (SELECT query_id, chunk_id, list_cosine_similarity(q.v, c.v).round(12) AS score FROM items JOIN e q ON query_id = q.vec_id, c),
+ s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s0 QUALIFY rank <= 120),
+ k0 AS MATERIALIZED (SELECT query_id, chunk_id, len(qt.t) AS need FROM qt JOIN c ON len(list_intersect(qt.t, c.t)) = len(qt.t)),
+ o AS (SELECT k0.query_id, chunk_id, need, term, p FROM k0 JOIN (SELECT chunk_id, unnest(words) AS term, unnest(range(len(words))) AS p FROM c) USING (chunk_id) JOIN asked USING (query_id, term)),
+ l AS (SELECT query_id, chunk_id, need, p, min(last) AS low FROM (SELECT o.query_id, chunk_id, need, p, max(CASE WHEN o.term = a.term THEN p END) OVER (PARTITION BY o.query_id, chunk_id, a.term ORDER BY p) AS last FROM o JOIN asked a ON a.query_id = o.query_id) GROUP BY ALL HAVING count(last) = need),
+ v AS (SELECT query_id, chunk_id, sum(CASE WHEN before IS NULL OR low > before THEN 1.0::DOUBLE / (p - low - need + 2) ELSE 0 END ORDER BY p) AS cover FROM (SELECT *, lag(low) OVER (PARTITION BY query_id, chunk_id ORDER BY p) AS before FROM l) GROUP BY 1, 2),
+ k AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY cover DESC, chunk_id)::INT AS rank FROM v QUALIFY rank <= 120),
+ h0 AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + coalesce(s.rank, 121)) + 1.0::DOUBLE / (60 + coalesce(k.rank, 121)) AS score FROM s FULL JOIN k USING (query_id, chunk_id)),
+ h AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM h0 QUALIFY rank <= 20)
+ """
+    + " UNION ALL ".join(f"({_CHUNK_WAY.format(f'({rows})', way)})" for rows, way in (("SELECT * FROM s WHERE rank <= 10", "semantic"), (_CHUNK_AGAIN.format("s"), "semantic_reranked"), ("SELECT * FROM h WHERE rank <= 10", "hybrid"), (_CHUNK_AGAIN.format("h"), "hybrid_reranked")))
+)
+
 SQL = {
     "semantic_topk": cte("e") + f"SELECT query_id, vec_id, rank, round(score, 6) AS score FROM ({_TOP}) WHERE rank <= 10",
     "mrl_truncate_topk": cte("e") + """, n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))[1:32] AS v FROM e),
@@ -207,11 +291,19 @@ SQL = {
   UNION ALL SELECT t.conv_id, t.turn, t.tokens, t.n, CASE WHEN r.total > 0 AND r.total + t.tokens > 200 THEN t.tokens ELSE r.total + t.tokens END, r.batch_no + CASE WHEN r.total > 0 AND r.total + t.tokens > 200 THEN 1 ELSE 0 END FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1)
  SELECT conv_id, turn, tokens, batch_no FROM r""",
     "term_postings": cte("post") + "SELECT doc_id, term, tf FROM post",
-    "keyword_match_and": cte("key") + "SELECT query_id, doc_id, tf, rank FROM key",
+    "keyword_match_and": cte("key") + "SELECT query_id, doc_id, round(cover, 9) AS cover, rank FROM key",
     "hybrid_rrf": cte("hyb") + "SELECT query_id, doc_id, sem_rank, key_rank, round(score, 9) AS score, rank FROM hyb",
-    "rerank_topk": cte("hyb") + f""", w AS (SELECT query_id, list_distinct({TERMS}) AS t FROM items), d AS (SELECT doc_id, list_distinct({TERMS}) AS t FROM documents),
- s AS (SELECT query_id, doc_id, rank, len(list_intersect(w.t, d.t))::DOUBLE / len(w.t) AS x FROM hyb JOIN w USING (query_id) JOIN d USING (doc_id) WHERE rank <= 20)
+    "rerank_topk": cte("hyb", "qt", "dt") + """, s AS (SELECT query_id, doc_id, rank, len(list_intersect(qt.t, dt.t))::DOUBLE / len(qt.t) AS x FROM hyb JOIN qt USING (query_id) JOIN dt USING (doc_id) WHERE rank <= 20)
+ SELECT query_id, doc_id, rank, round(x, 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, rank, doc_id)::INT AS rerank_rank FROM s QUALIFY rerank_rank <= 10""",
+    "semantic_rerank": cte("sem", "qt", "dt") + """, s AS (SELECT query_id, doc_id, rank, len(list_intersect(qt.t, dt.t))::DOUBLE / len(qt.t) AS x FROM sem JOIN qt USING (query_id) JOIN dt USING (doc_id) WHERE rank <= 100)
  SELECT query_id, doc_id, rank, round(x, 9) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY x DESC, rank, doc_id)::INT AS rerank_rank FROM s QUALIFY rerank_rank <= 10""",
+    "chunk_retrieval": _CHUNKS,
+    "score_debug": cte("e") + "SELECT c.vec_id, round(list_cosine_similarity(c.v, q.v), 6) AS score FROM e c JOIN e q ON q.vec_id = 0",
+    "locate_text": "SELECT item_id AS query_id, doc_id, (strpos(d.text, b.text) - 1)::INT AS start, (strpos(d.text, b.text) - 1 + length(b.text))::INT AS \"end\" FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
+    "lenient_relevance": cte("hyb") + r""", h AS (SELECT query_id, doc_id, lower(trim(d.text)) AS a, lower(trim(i.text)) AS b FROM hyb JOIN items i USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 5),
+ x AS (SELECT *, list_distinct(regexp_extract_all(a, '[^ \t\n\r\f\x0B]+')) AS p, list_distinct(regexp_extract_all(b, '[^ \t\n\r\f\x0B]+')) AS q FROM h),
+ y AS (SELECT query_id, doc_id, CASE WHEN contains(a, b) OR contains(b, a) THEN 1.0::DOUBLE ELSE len(list_intersect(p, q))::DOUBLE / len(q) END AS o FROM x)
+ SELECT query_id, doc_id, round(o, 9) AS overlap, (o >= 0.3)::INT AS relevant FROM y""",
     "relevance_substring": cte("hyb") + r""", h AS (SELECT query_id, doc_id, lower(trim(i.text)) AS a, lower(trim(d.text)) AS b FROM hyb JOIN items i USING (query_id) JOIN documents d USING (doc_id) WHERE rank <= 5),
  x AS (SELECT *, list_distinct(regexp_extract_all(a, '[^ \t\n\r\f\x0B]+')) AS p, list_distinct(regexp_extract_all(b, '[^ \t\n\r\f\x0B]+')) AS q FROM h),
  y AS (SELECT *, len(list_intersect(p, q))::DOUBLE AS n FROM x)
@@ -221,10 +313,15 @@ SQL = {
  m AS (SELECT kk.query_id, kk.k, count(g.rank)::DOUBLE / kk.k AS p, CASE WHEN max(n.n) > 0 THEN count(DISTINCT g.doc_id)::DOUBLE / max(n.n) ELSE 0 END AS r FROM k kk LEFT JOIN g ON g.query_id = kk.query_id AND g.rank <= kk.k LEFT JOIN n ON n.query_id = kk.query_id GROUP BY kk.query_id, kk.k)
  SELECT query_id, k, round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM m""",
     "mrr_map_hit": cte("hyb", "truth") + f"SELECT query_id, round(mrr, 9) AS mrr, round(ap, 9) AS ap, hit FROM ({_METRICS.format('hyb')})",
-    "metric_rollup": _RES + "SELECT strategy, dataset, count(*) AS questions, round(avg(mrr), 6) AS mrr, round(avg(ap), 6) AS ap, round(avg(hit), 6) AS hit FROM res GROUP BY GROUPING SETS ((strategy, dataset), (strategy))",
-    "metric_summary": _RES + "SELECT strategy, round(avg(mrr), 6) AS mean, round(quantile_cont(mrr, 0.5), 6) AS median, round(stddev_pop(mrr), 6) AS std, round(stddev_samp(mrr), 6) AS std_sample, round(avg((mrr >= 0.99)::INT), 6) AS perfect FROM res GROUP BY strategy",
-    "metric_pivot": _RES + """, p AS (SELECT dataset, avg(mrr) FILTER (strategy = 'hybrid') AS hybrid, avg(mrr) FILTER (strategy = 'keyword') AS keyword, avg(mrr) FILTER (strategy = 'semantic') AS semantic FROM res GROUP BY dataset)
- SELECT dataset, round(hybrid, 6) AS hybrid, round(keyword, 6) AS keyword, round(semantic, 6) AS semantic, CASE WHEN hybrid >= keyword AND hybrid >= semantic THEN 'hybrid' WHEN keyword >= semantic THEN 'keyword' ELSE 'semantic' END AS best FROM p""",
+    "strategy_results": _RES + "SELECT strategy, dataset, query_id, round(mrr, 9) AS mrr, round(ap, 9) AS ap, hit, context_length, success FROM res",
+    "metric_rollup": _RES + "SELECT strategy, dataset, count(*) AS questions, round(avg(mrr), 6) AS mrr, round(avg(ap), 6) AS ap, round(avg(hit), 6) AS hit, round(avg(context_length), 6) AS context_length, round(avg(success), 6) AS success FROM res GROUP BY GROUPING SETS ((strategy, dataset), (strategy))",
+    "metric_summary": _RES + "SELECT strategy, round(avg(mrr), 6) AS mean, round(quantile_cont(mrr, 0.5), 6) AS median, round(stddev_pop(mrr), 6) AS std, round(stddev_samp(mrr), 6) AS std_sample, round(avg((mrr >= 0.99)::INT), 6) AS perfect, avg(mrr) BETWEEN 0.2 AND 0.7 AS realistic FROM res GROUP BY strategy",
+    "metric_pivot": _RES + ", p AS (SELECT dataset, " + ", ".join(f"avg(mrr) FILTER (strategy = '{n}') AS {n}" for n in _HITS) + " FROM res GROUP BY dataset) SELECT dataset, " + ", ".join(f"round({n}, 6) AS {n}" for n in _HITS) + ", CASE greatest(" + ", ".join(_HITS) + ") " + " ".join(f"WHEN {n} THEN '{n}'" for n in _HITS) + " END AS best FROM p",
+    "dimension_study": cte("e") + """, d AS (SELECT unnest([16, 32, 64])::INT AS dims), n AS (SELECT dims, vec_id, label, v[1:dims] AS v FROM e, d),
+ t AS (SELECT q.dims, q.vec_id AS query_id, q.label = c.label AS good, row_number() OVER (PARTITION BY q.dims, q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 12) DESC, c.vec_id) AS rank FROM n q JOIN n c ON q.dims = c.dims AND q.vec_id <> c.vec_id AND q.vec_id % 100 = 0),
+ w AS (SELECT dims, query_id, count(*) FILTER (good) AS n FROM t GROUP BY 1, 2),
+ m AS (SELECT t.dims, k, t.query_id, count(*) FILTER (good)::DOUBLE / k AS p, CASE WHEN any_value(n) > 0 THEN count(*) FILTER (good)::DOUBLE / any_value(n) ELSE 0 END AS r FROM t JOIN w USING (dims, query_id), (SELECT unnest([1, 5, 20])::INT AS k) WHERE rank <= k GROUP BY 1, 2, 3)
+ SELECT dims, k, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall FROM m GROUP BY 1, 2""",
     "idset_precision_recall": cte("e") + f""", t AS (SELECT * FROM ({_TOP}) WHERE rank <= 20), k AS (SELECT vec_id AS query_id, label, unnest([1, 5, 10, 20])::INT AS k FROM e WHERE vec_id % 100 = 0),
  n AS (SELECT k.query_id, k, (SELECT count(*) FROM e WHERE e.label = k.label AND e.vec_id <> k.query_id) AS n FROM k)
  SELECT n.query_id, n.k, round(count(t.vec_id)::DOUBLE / n.k, 9) AS precision, round(CASE WHEN n.n > 0 THEN count(t.vec_id)::DOUBLE / n.n ELSE 0 END, 9) AS recall FROM n LEFT JOIN t ON t.query_id = n.query_id AND t.rank <= n.k AND t.label = t.wanted GROUP BY n.query_id, n.k, n.n""",
@@ -240,4 +337,4 @@ SQL = {
     "clipped_documents": "SELECT doc_id, md5(CASE WHEN length(text) > 2000 THEN left(text, 2000) || '...' ELSE text END) AS digest FROM documents WHERE length(text) > 50",
 }
 
-QUERIES = [semantic_topk, mrl_truncate_topk, vector_normalize, vector_parse, similar_entities_union, adaptive_topk, token_chunks, token_budget_prefix, greedy_token_batches, term_postings, keyword_match_and, hybrid_rrf, rerank_topk, relevance_substring, precision_recall_at_k, mrr_map_hit, metric_rollup, metric_summary, metric_pivot, idset_precision_recall, union_ranges, range_intersection, range_difference, range_iou, embedding_counts, text_page, clipped_documents]
+QUERIES = [semantic_topk, mrl_truncate_topk, vector_normalize, vector_parse, similar_entities_union, adaptive_topk, token_chunks, token_budget_prefix, greedy_token_batches, term_postings, keyword_match_and, hybrid_rrf, rerank_topk, semantic_rerank, chunk_retrieval, score_debug, locate_text, relevance_substring, lenient_relevance, precision_recall_at_k, mrr_map_hit, strategy_results, metric_rollup, metric_summary, metric_pivot, dimension_study, idset_precision_recall, union_ranges, range_intersection, range_difference, range_iou, embedding_counts, text_page, clipped_documents]

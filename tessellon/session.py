@@ -36,31 +36,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where nothing sets one (tests, one-machine runs) a local folder is made.
+    Only a local master (tests, one-machine runs) may do without: a temporary folder is
+    made there. A cluster without the setting is an error, since its executors would
+    each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessellon-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The folder below the shared one that holds this application's intermediate tables."""
+    return f"{shared_dir(spark)}/tessellon/{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tessellon/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts lineage in a way that outlives executors: each row is computed once,
     whereas ``checkpoint()`` computes the plan for its count and again for its files.
+    ``scratch`` takes the path, for a caller that drops what it no longer needs.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def dropped(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the intermediate tables of ``scratch``."""
+    while scratch:
+        drop_path(spark, scratch.pop())
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that still read them must have been stored before."""
+    drop_path(spark, own_dir(spark))
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Columns of the two forms of stored chunks.
+CHUNK = ("document_id", "content", "tokens", "type", "is_processed")
+POSITIONED = (*CHUNK, "start", "end")
 REFERENCES = "array<struct<content:string,start_index:int,end_index:int>>"
 
 
@@ -55,6 +58,28 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mo
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
+def write_chunks(df: DataFrame, path: str, positioned: bool = True, mode: str = "append") -> None:
+    """Chunks in their five or seven columns, by type; one whose state is not given counts as not processed."""
+    rows = df if "is_processed" in df.columns else df.withColumn("is_processed", F.lit(False))
+    write_table(rows.select(*(POSITIONED if positioned else CHUNK)), path, ("type",), mode)
+
+
+def write_documents(df: DataFrame, path: str, first: int = 1, key: str = "path") -> DataFrame:
+    """Documents with ids that go on from ``first`` in the order of a natural key, stored and read again with them."""
+    from tessellon.operators.tables import numbered
+
+    write_table(numbered(df, [key], "document_id", first), path, mode="append")
+    return df.sparkSession.read.parquet(path).where(F.col("document_id") >= first)
+
+
+def read_database(spark: SparkSession, url: str, name: str, partition: str | None = None, low: int = 0, high: int = 0, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database over JDBC, in ``parts`` ranges of a number column where one is named. The driver's jar is the caller's."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=name, **options)
+    if partition:
+        reader = reader.options(partitionColumn=partition, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.load()
+
+
 def write_report(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Results as CSV with a header, or as JSON lines."""
     if fmt not in ("csv", "json"):

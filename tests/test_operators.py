@@ -66,17 +66,43 @@ def test_chunks_stand_where_they_say(spark):
 
 
 def test_runs_never_pass_the_cap():
-    s = np.full((6, 6), -1.0)
-    s[0, 5] = s[5, 0] = 99
-    assert all(b - a <= 2 for a, b in chunking.segments(s, 2)) and chunking.segments(s, 2)[-1][1] == 6
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(7, 3))
+    sizes = [3, 1, 4, 1, 5, 2, 6]
 
+    def divisions(n):
+        return [[]] if n == 0 else [d + [(k, n)] for k in range(n) for d in divisions(k)]
 
-def test_locate():
+    mean = np.mean([v[i] @ v[j] for i in range(7) for j in range(i)])
+    assert np.isclose(chunking.mean_similarity(v), mean)
+    value = lambda d, bonus: sum(sum(v[i] @ v[j] - mean for i in range(a, b) for j in range(a, b) if i != j) + bonus * np.log(b - a) for a, b in d)
+    for most, budget, bonus in ((2, None, 0.0), (3, None, 0.2), (7, 6, 0.2), (7, 1, 0.0)):
+        got = chunking.segments(v, most, sizes, budget, bonus)
+        fits = [d for d in divisions(7) if all(b - a <= most and (budget is None or b - a == 1 or sum(sizes[a:b]) <= budget) for a, b in d)]
+        assert got in fits and np.isclose(value(got, bonus), max(value(d, bonus) for d in fits))
+
+
+def test_locate(spark):
     doc = "The quick  brown fox\njumps over the lazy dog. Another sentence here."
     for part, want in (("brown fox", "brown fox"), ("quick brown fox jumps", "quick  brown fox\njumps"), ("THE LAZY DOG", "the lazy dog"), ("jumps ovr the lazy dog", "jumps over the lazy do")):
         a, b = chunking.locate(doc, part)
         assert doc[a:b] == want
-    assert chunking.locate(doc, "nothing of the kind anywhere") is None and chunking.locate(doc, " ") is None
+    assert chunking.locate(doc, "nothing of the kind anywhere") is None and chunking.locate(doc, " ") is None and chunking.locate(None, "a") is None
+    marked = "a state @-@ of @-@ the art , 3 @.@ 5 m wide"
+    a, b = chunking.locate(marked, "state-of-the art, 3.5 m")
+    assert marked[a:b] == "state @-@ of @-@ the art , 3 @.@ 5 m"
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 9))) for _ in range(120)]
+    text, part = " ".join(words), " ".join(words[30:70])
+    at = text.index(part)
+    head = part[:60] + part[60:].replace("a", "b", 9)
+    assert chunking._by_head(text, head)[0] == at
+    assert chunking._by_sentence("One. " + part + ". Two.", part[:-9]) == (5, 5 + len(part))
+    broken = "zzzzz " * 6 + part[36:]
+    a, b = chunking._by_pieces(text, broken)
+    assert abs(a - at) <= 2 and b - a == len(broken)
+    rows = spark.createDataFrame([(1, doc, "brown fox"), (2, doc, "zebra zoo"), (3, None, "x")], "id int, t string, p string")
+    assert {r.id: (r.start, r.end) for r in chunking.located(rows, "t", "p").collect()} == {1: (11, 20), 2: (None, None), 3: (None, None)}
 
 
 def test_budget_batches_and_adaptive_k(spark):
@@ -104,8 +130,47 @@ def test_search_edges(spark, monkeypatch):
     assert found() == want
     monkeypatch.setattr(search, "QUERY_BLOCK", 2)
     assert found() == want
+    monkeypatch.setattr(search, "CORPUS_BLOCK", 2)
+    assert found() == want
+    assert search.semantic_search(corpus, asked, None).count() == 16
+    monkeypatch.undo()
     assert search.semantic_search(corpus, asked.limit(0), 2).count() == 0
     assert search.semantic_search(corpus, asked, None).count() == 16
+    assert search.semantic_search(corpus, asked, None, least=0.9).count() == 6
+
+
+def test_search_keeps_the_best_of_many_batches(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 4)).round(1)
+    v[1::3] = v[0]  # a tie of many rows
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    corpus = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    asked = corpus.where("vec_id in (0, 5, 9)").select(F.col("vec_id").alias("query_id"), "embedding")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = search.semantic_search(corpus, asked, 7).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for q in (0, 5, 9):
+        s = (unit @ unit[q]).round(12)
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(3000), -s))[:7].tolist()
+
+
+def test_keyword_search_by_cover(spark):
+    docs = spark.createDataFrame([(1, "red car and a blue car"), (2, "car red"), (3, "red red"), (4, None), (5, "Red! car"), (6, "red x y z car red")], "doc_id long, text string")
+    asked = search.query_terms(spark.createDataFrame([(1, "red CAR"), (2, "red"), (3, "nowhere red"), (4, "")], "query_id long, text string"))
+    got = search.keyword_search(search.term_index(docs), asked, None).collect()
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == [(1, 1, 6), (1, 2, 1), (1, 3, 2), (1, 4, 5), (2, 1, 3), (2, 2, 6), (2, 3, 1), (2, 4, 2), (2, 5, 5)]
+    rng = random.Random(12)
+    rows = [(i, [rng.choice("abcdx") for _ in range(rng.randrange(1, 40))]) for i in range(60)]
+    df = spark.createDataFrame([(i, w, list("abc")) for i, w in rows], "i int, terms array<string>, wanted array<string>")
+    for r in df.where("array_contains(terms, 'a') and array_contains(terms, 'b') and array_contains(terms, 'c')").select("i", search.cover_density("wanted", "terms").alias("c")).collect():
+        places = {}
+        for at, w in enumerate(dict(rows)[r.i]):
+            places.setdefault(w, []).append(at)
+        assert r.c == pytest.approx(similarity.cover_density("abc", places))
 
 
 def test_vectors(spark):
@@ -122,10 +187,12 @@ def test_text_parsers(spark):
     assert [tuple(r) for r in one("A | b | c | d\r\na|b|c\n a||c|d\n\n x|Y|z|W ", text.triplets)] == [("a", "b", "c", "d"), ("x", "y", "z", "w")]
     assert list(one(" \"Ada\" , 'Bob',, ", text.entity_names)) == ["ada", "bob"]
     assert tuple(one("Decision: YES\nResolved Name: N/A\nDecision: no\nConfidence: high\nReasoning: same", text.merge_decision)) == (False, "", "HIGH", "same")
-    assert one(" a  b @-@ c <unk> ", text.normalize_text) == "a b-c"
-    names = ["2023", "$10 million", "16:9", "10km", "May 2022", "  ", None, "barack obama", "3 bears"]
-    got = spark.createDataFrame([(n,) for n in names], "n string").select(text.mergeable(F.col("n")).alias("m")).collect()
-    assert [r.m for r in got] == [False] * 7 + [True, True]
+    assert tuple(one("nothing said", text.merge_decision)) == (False, "", "LOW", "")
+    assert one("\n a\t b @-@ c x @,@ y @.@ z <unk> “q” ’", text.normalize_text) == "a b - c x, y. z  \"q\" '"
+    no = ["2023", "$10 million", "16:9", "10km", "May 2022", "  ", None, "3 bears", "25 percent", "3 hrs", "10 min", "12 oz", "5 gal", "5k", "2 b", "january 2022 report", "\t7 "]
+    yes = ["barack obama", "april", "june", "may", "jan", "route 66", "7 seas", "$ sign"]
+    got = spark.createDataFrame([(n,) for n in no + yes], "n string").select(text.mergeable(F.col("n")).alias("m")).collect()
+    assert [r.m for r in got] == [False] * len(no) + [True] * len(yes)
 
 
 def test_similarities():
@@ -163,7 +230,10 @@ def test_all_pairs_blocks_and_top_k(spark):
     near = {(r.u, r.v) for r in pairs.all_pairs_hashed(df, 0.8).collect()}
     want = {(u, v) for u, v, s in one if s >= 0.8}
     assert near <= want and len(near) >= 0.9 * len(want)
-    assert max(sum(u == r.u for r in pairs.all_pairs(df, 0.0, 2).collect()) for u in range(60)) == 2
+    v = np.array([r[1] for r in rows[:60]])
+    sims = v @ v.T / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    near = np.argsort(-sims, axis=1)[:, :3]
+    assert {(r.u, r.v) for r in pairs.all_pairs(df, 0.0, 3, block=9).collect()} == {(u, int(v)) for u in range(60) for v in near[u] if u < v and sims[u, v] >= 0}
 
 
 def test_khop_and_deepening(spark):
@@ -184,6 +254,61 @@ def test_refined_groups(spark):
     assert got == {(1, 1): {1, 2, 3}, (10, 10): {10, 11}, (10, 12): {12, 13}, (20, 20): {20, 21}}
 
 
+def test_large_groups_are_compared_by_blocks(spark):
+    rng = random.Random(21)
+    stem = ["north steel works", "upper food market", "zebra glass house"]
+    rows = [(f"n{i:03}", "c", stem[i % 3][: rng.randrange(15, 18)] + rng.choice(["", "s"])) for i in range(90)] + [("n999", "c", "alone")]
+    names = spark.createDataFrame(rows, "node string, component string, name string")
+    for block in (8, 512):
+        parts = {r.node: r.component for r in graph.connected_components(graph.alike_names(names, 90.0, block), "u", "v").collect()}
+        assert parts == {n: f"n{int(n[1:]) % 3:03}" for n, _, _ in rows[:90]}
+
+
+def test_resolution_of_text_ids(spark):
+    pairs_ = spark.createDataFrame([("a", "b", 0.95), ("b", "c", 0.93), ("d", "e", 0.99), ("f", "g", 0.97), ("h", "i", 0.2), ("j", "k", 0.96), ("x", "y", 0.99)], "u string, v string, sim double")
+    names = spark.createDataFrame([("a", "acme corp"), ("b", "acme corps"), ("c", "acme corpse"), ("d", "2021"), ("e", "2022"), ("f", "oak"), ("g", "oaks"), ("j", "ash"), ("k", "elm")], "entity_id string, entity_name string")
+    groups, members = graph.entity_groups(pairs_, 0.9, names)
+    assert {(r.component, r.size, r.representative) for r in groups.collect()} == {("a", 3, "b"), ("f", 2, "f"), ("j", 2, "j")}
+    assert graph.group_summary(groups).first().members == 7 and members.count() == 7
+    decide = lambda n: F.when(F.array_contains(n, "oak"), "Decision: NO").when(F.array_contains(n, "acme corp"), "Decision: YES\nResolved Name: Acme\nConfidence: high")
+    got = graph.resolved_entities(pairs_, names, decide)
+    assert {tuple(r) for r in got.select("node", "representative", "resolved_name", "label").collect()} == {("a", "b", "Acme", "HIGH"), ("b", "b", "Acme", "HIGH"), ("c", "b", "Acme", "HIGH"), ("f", "f", None, None), ("g", "g", None, None), ("j", "j", None, None), ("k", "j", None, None)}
+    assert {r.node: round(r.confidence, 3) for r in got.collect()} == {"a": 0.94, "b": 0.94, "c": 0.94, "f": 0.0, "g": 0.0, "j": 0.96, "k": 0.96}
+    assert [tuple(r) for r in graph.decision_counts(got).collect()] == [("HIGH", 1)]
+    kept = {tuple(r) for r in graph.merged_entities(names, got).collect()}
+    assert kept == {("b", "Acme"), ("d", "2021"), ("e", "2022"), ("f", "oak"), ("g", "oaks"), ("j", "ash")}
+    rel = spark.createDataFrame([(1, "a", "f", 2, "one"), (2, "c", "f", 9, "two"), (3, "a", "b", 1, "loop"), (4, "f", "zz", None, "far")], "rel_id int, from_entity string, to_entity string, weight int, line string")
+    assert {tuple(r) for r in graph.apply_merges(rel, got).collect()} == {("b", "f", 1, 9, "one"), ("f", "zz", 4, None, "far")}
+    links = spark.createDataFrame([("a", 1), ("c", 1), ("g", 2)], "entity_id string, document_id int")
+    assert {tuple(r) for r in graph.merged_links(links, got, "entity_id", "document_id").collect()} == {("b", 1), ("g", 2)}
+    lone = spark.createDataFrame([("p", "q", "p", 0.9), ("p", "p", "p", 0.9)], "group string, node string, representative string, confidence double")
+    assert [r.representative for r in graph.validated_groups(lone, names, lambda n: F.lit("Decision: NO")).collect()] == ["p", "p"]  # no names, not asked
+
+
+def test_graph_is_built_and_asked(spark):
+    chunks = spark.createDataFrame([(1, 10, "a|b|is|of\nb|c|x|y"), (2, 10, "b|a|z|z\nnone"), (3, 11, None)], "chunk_id long, document_id long, content string")
+    known = spark.createDataFrame([(7, "b")], "entity_id long, entity_name string")
+    made = graph.built_graph(chunks, lambda c: c, known)
+    assert {tuple(r) for r in made["entities"].collect()} == {(7, "b"), (8, "a"), (9, "c")}
+    assert sorted(tuple(r) for r in made["relations"].collect()) == [(7, 8, "z", "z", 2, 10), (7, 9, "x", "y", 1, 10), (8, 7, "is", "of", 1, 10)]
+    assert made["entity_chunks"].count() == 5 and made["entity_documents"].count() == 3
+    assert tuple(graph.graph_counts(made["entities"], made["relations"]).first()) == (3, 3)
+    rel = spark.createDataFrame([(1, "a", "b", 3, [1.0, 0.0]), (2, "b", "c", 4, [0.0, 1.0]), (3, "c", "d", 2, [1.0, 1.0]), (4, "x", "y", 1, None)], "rel_id int, from_entity string, to_entity string, tokens int, embedding array<double>")
+    seed = spark.createDataFrame([("a",)], "node string")
+    asked = []
+    got = graph.graph_retrieval(rel, seed, [1.0, 0.2], 5, lambda context: asked.append(context.count()) or len(asked) == 3)
+    assert asked == [1, 1, 2] and [(r.rel_id, r["rank"], r.running_tokens, r.depth) for r in got.orderBy("rank").collect()] == [(1, 1, 3, 3), (3, 2, 5, 3)]
+
+
+def test_communities_without_edges_and_summaries(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "entity_id string")
+    none = spark.createDataFrame([], "u string, v string, weight double")
+    assert {(r.node, r.level, r.parent) for r in graph.communities(none, nodes=nodes).collect()} == {("a", 0, None), ("b", 0, None)}
+    context = spark.createDataFrame([(1, False, "x"), (2, True, "y"), (3, False, "bad")], "community_id int, too_long boolean, context string")
+    got = graph.summarised_communities(context, lambda c: F.when(c != "bad", F.upper(c)))
+    assert [(r.community_id, r.summary) for r in got.collect()] == [(1, "X")]
+
+
 def test_leiden_invariants():
     rng = random.Random(5)
     edges = [(g * 20 + a, g * 20 + b, 1.0) for g in range(4) for a in range(20) for b in range(a) if rng.random() < 0.5] + [(0, 20, 1.0), (20, 40, 1.0), (40, 60, 1.0)]
@@ -211,6 +336,41 @@ def test_relevance_and_metrics(spark):
     assert one == {1: (1.0, pytest.approx((1 + 2 / 3) / 2), 1), 2: (0.0, 0.0, 0)}
 
 
+def test_lenient_relevance(spark):
+    df = spark.createDataFrame([("a b x", "a b c d e f"), ("a y", "a b c d e f"), ("b c", "a b c d"), (None, "a")], "c string, d string")
+    assert [(round(r.overlap, 3), r.relevant) for r in evaluation.lenient_relevance(df, "c", "d").collect()] == [(0.333, 1), (0.167, 0), (1.0, 1), (0.0, 0)]
+
+
+def test_document_and_chunk_sinks(spark, tmp_path):
+    new = spark.createDataFrame([("b", "x"), ("a", "y")], "path string, content string")
+    got = files.write_documents(new, str(tmp_path / "d"))
+    assert {(r.document_id, r.path) for r in got.collect()} == {(1, "a"), (2, "b")}
+    again = files.write_documents(spark.createDataFrame([("c", "z")], "path string, content string"), str(tmp_path / "d"), 3)
+    assert {(r.document_id, r.path) for r in again.collect()} == {(3, "c")}
+    rows = spark.createDataFrame([(1, "t", 2, "token", 0, 4)], "document_id long, content string, tokens int, type string, start int, end int")
+    files.write_chunks(rows, str(tmp_path / "c"))
+    files.write_chunks(rows, str(tmp_path / "five"), positioned=False)
+    assert spark.read.parquet(str(tmp_path / "c")).columns == ["document_id", "content", "tokens", "is_processed", "start", "end", "type"]
+    assert len(spark.read.parquet(str(tmp_path / "five")).columns) == 5
+
+
+def test_intermediate_tables(spark, monkeypatch):
+    from tessellon import session
+
+    df, path = session.written(spark.range(3), "test")
+    scratch = [path]
+    assert df.count() == 3 and path.startswith(session.own_dir(spark))
+    session.dropped(spark, scratch)
+    assert not scratch and not spark._jvm.java.io.File(path.removeprefix("file://")).exists()
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://x", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "corpora").mkdir()
     (tmp_path / "corpora" / "one two.md").write_text("# T\n\nbody")
