@@ -197,8 +197,9 @@ def keyword_search(index: DataFrame, asked: DataFrame, k: int | None, id_col: st
     known = wanted.join(often, "term", "left")
     rarest = known.groupBy(query_id).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"), F.sort_array(F.collect_list("term")).alias("wanted"))
     rarest = rarest.where("r.df > 0").select(F.col("r.term").alias("term"), query_id, "wanted")
-    near = index.select(id_col, "terms", "found", F.explode("found").alias("term")).join(few(rarest), "term")
-    hits = near.where(F.size(F.array_intersect("wanted", "found")) == F.size("wanted")).select(query_id, id_col, cover_density("wanted", "terms").alias("cover"))
+    # documents' terms are not carried through the explosion: those of the few found are fetched by id
+    near = index.select(id_col, F.explode("found").alias("term")).join(few(rarest), "term").select(query_id, id_col, "wanted")
+    hits = index.join(near, id_col).where(F.size(F.array_intersect("wanted", "found")) == F.size("wanted")).select(query_id, id_col, cover_density("wanted", "terms").alias("cover"))
     return ranked(hits, [query_id], [F.col("cover").desc(), F.col(id_col)], "rank", k)
 
 
