@@ -1,8 +1,8 @@
 """Operator 1: byte-level BPE encoding and decoding.
 
-Bytes are mapped to the Latin-1 characters of the same code, so that an Aho-Corasick
-automaton over strings finds every vocabulary entry inside a piece in one pass. From the
-longest entry at each position the encoder walks right; where the next entry does not
+Bytes are mapped to the Latin-1 characters of the same code, so that the vocabulary can
+be kept in the string trie of an Aho-Corasick library, which names the longest entry at
+a position. From there the encoder walks right; where the next entry does not
 fit its left neighbour it takes the next shorter one, and where none is left it steps
 back over its last token. Two adjacent tokens fit when merging their joined bytes by
 rank gives exactly these two; a sequence whose neighbours all fit is the merge result.
@@ -128,6 +128,8 @@ class _Fits(dict):
         self.bpe = bpe
 
     def __missing__(self, pair: int) -> bool:
+        if len(self) > MEMO:
+            self.clear()
         left, right = divmod(pair, FAR)
         want = [right] if left == START else [left, right]
         self[pair] = fit = self.bpe.merged(b"".join(map(self.bpe.bytes_of.__getitem__, want))) == want
@@ -143,6 +145,8 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = pack(self.bpe.encode_piece(piece.encode()))
         if len(piece) <= 64:
+            if len(self) > MEMO:
+                self.clear()
             self[piece] = ids
         return ids
 

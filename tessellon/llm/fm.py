@@ -1,26 +1,29 @@
 """Factorisation machines over hashed text features, for operators 4 and 6.
 
-A text becomes a set of hashed features: its words, their letter runs and its statistics. The machine scores a set with a bias, a weight
-for each feature and a low-rank vector for each feature whose inner products weigh every
-pair; by the identity  sum of pairs = (square of sum - sum of squares) / 2  that costs
+A text becomes a set of hashed features: its words, their letter runs and its
+statistics. The machine scores a set with a bias, a weight for each feature and a
+low-rank vector for each feature whose inner products weigh every pair; by the identity  sum of pairs = (square of sum - sum of squares) / 2  that costs
 time linear in the features. Training is on a bounded, seeded sample of labelled rows
 (``SAMPLE`` rows of each label at most, weighted back to the labels' true shares), on
-features that are associated with the label in that sample; scoring runs over all rows
-in one pass without a shuffle.
+features that are associated with the label in that sample. Those are counted on the
+executors, so what the driver gets is ``MOST`` features of the sample's rows at most.
+Scoring runs over all rows in one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.llm.arrow import map_texts
+from tessellon.session import drop_path, written
 
 #: The names of a text's features, and the finer features that a name stands for.
 Features = Callable[[str], Iterable[str]]
@@ -86,12 +89,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
-def trained(sets: list[np.ndarray], labels: list[int], weights: list[float], runs: tuple[int, ...] = (), seed: int = SEED) -> Machine:
-    """Fit a machine to sets of buckets. With one label only, or no rows, it knows no more than the share of ones."""
+def trained(sets: list[np.ndarray], labels: list[int], weights: list[float], chosen: list[int], runs: tuple[int, ...] = (), seed: int = SEED) -> Machine:
+    """Fit a machine to sets of buckets, of which it uses the ``chosen``. With one label only, or no rows, it knows no more than the share of ones."""
     y, own = np.array(labels, np.float32), np.array(weights, np.float32)
     share = float((y * own).sum() / own.sum()) if len(y) else 0.5
     prior = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    place = associated(sets, y)
+    place = {b: i for i, b in enumerate(sorted(chosen))}
     if not place or len(set(labels)) < 2:
         return Machine({}, prior, np.zeros(0), np.zeros((0, RANK)), runs)
     chosen = np.array(sorted(place), "<u4")
@@ -116,22 +119,33 @@ def trained(sets: list[np.ndarray], labels: list[int], weights: list[float], run
     return Machine(place, float(parts[0][0]), parts[1], parts[2], runs)
 
 
-def associated(sets: list[np.ndarray], y: np.ndarray) -> dict[int, int]:
-    """The buckets most associated with the label, each with its row of weights."""
-    if not len(y) or y.min() == y.max():
-        return {}
-    n, ones = np.zeros(SPACE, np.uint32), np.zeros(SPACE, np.uint32)
-    for s, label in zip(sets, y):
-        n[s] += 1
-        if label:
-            ones[s] += 1
-    names = np.flatnonzero(n >= LEAST_ROWS)
-    n, ones = n[names].astype(float), ones[names].astype(float)
-    total, all_ones = float(len(y)), float(y.sum())
-    chi = total * (ones * total - n * all_ones) ** 2 / np.maximum(n * (total - n) * all_ones * (total - all_ones), 1)
-    keep = np.flatnonzero(chi >= LEAST_CHI)
-    keep = keep[np.lexsort((names[keep], -chi[keep]))][:MOST]
-    return {int(b): i for i, b in enumerate(sorted(names[keep]))}
+def associated(rows: DataFrame, most: int = MOST) -> list[int]:
+    """The buckets most associated with the label in labelled rows (__y, buckets), at most ``most``, by the chi-square statistic.
+
+    Each task counts its own rows first; the counts are summed and ranked in Spark.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.frombuffer(raw, "<u4")
+                held.append((found, np.full(len(found), y, np.int64)))
+        if held:
+            names, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            ones = np.bincount(at, np.concatenate([h[1] for h in held]), len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int64)), pa.array(np.bincount(at, minlength=len(names)).astype(np.int64)), pa.array(ones.astype(np.int64))], names=["b", "n", "ones"])
+
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("__y"), F.lit(0)).alias("ones")).first()
+    every, all_ones = float(total["n"]), float(total["ones"])
+    if not 0 < all_ones < every:
+        return []
+    n, ones = F.col("n").cast("double"), F.col("ones").cast("double")
+    gap = ones * every - n * all_ones
+    chi = every * gap * gap / F.greatest(n * (every - n) * all_ones * (every - all_ones), F.lit(1.0))
+    counts = rows.select("__y", "buckets").mapInArrow(counted, "b bigint, n bigint, ones bigint").groupBy("b").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    best = counts.where(F.col("n") >= LEAST_ROWS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "b").limit(most)
+    return [r["b"] for r in best.select("b").collect()]
 
 
 def bucketed(df: DataFrame, features: Features, key: str, text: str, runs: tuple[int, ...]) -> DataFrame:
@@ -152,9 +166,18 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, fe
     some = known.where("__y = 0").orderBy(*order).limit(sample).unionByName(known.where("__y = 1").orderBy(*order).limit(sample))
     rows = docs.select(key, text).join(F.broadcast(some), key)  # the sample's bound is the broadcast's
     one = bucketed(rows, features, key, text, runs).groupBy(key).agg(F.min("buckets").alias("buckets")).join(F.broadcast(some), key)
-    got = sorted(((r[key], r["__y"], r["buckets"]) for r in one.collect()), key=lambda r: r[0])
+    one, path = written(one.select(key, "__y", "buckets"), "fm-sample")  # counted first, then read again
+    chosen = associated(one)
+    wanted = np.array(sorted(chosen), "<u4")
+
+    @F.pandas_udf("binary")
+    def of_chosen(sets: pd.Series) -> pd.Series:
+        return sets.map(lambda raw: (found := np.frombuffer(raw, "<u4"))[np.isin(found, wanted, assume_unique=True)].tobytes())
+
+    got = sorted(((r[key], r["__y"], r["buckets"]) for r in one.select(key, "__y", of_chosen("buckets").alias("buckets")).collect()), key=lambda r: r[0])
+    drop_path(docs.sparkSession, path)
     counts = {y: sum(r[1] == y for r in got) for y in shares}
-    return trained([np.frombuffer(r[2], "<u4") for r in got], [r[1] for r in got], [shares[r[1]] / counts[r[1]] for r in got], runs)
+    return trained([np.frombuffer(r[2], "<u4") for r in got], [r[1] for r in got], [shares[r[1]] / counts[r[1]] for r in got], chosen, runs)
 
 
 def score_texts(df: DataFrame, machine: Machine, features: Features, key: str = "doc_id", text: str = "text") -> DataFrame:

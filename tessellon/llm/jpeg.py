@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import bounded, map_texts
+from tessellon.llm.arrow import map_texts, parts
 
 #: Blocks of a restart segment and of a row, the most blocks a dimension may have, and the blocks of a row once 64 are too few.
 UNIT, MOST, WIDE = 64, 8_191, 8_128
@@ -393,22 +393,30 @@ def read_texts(df: DataFrame, key: str = "doc_id", media: str = "media", size: s
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored texts.
 
     The payload's figures are of the bytes read back from the image. ``feature`` is the
-    image's dimensions and its thumbnail's hash.
+    image's dimensions and its thumbnail's hash. All six are null where the medium is
+    null or no baseline JPEG that this writer made.
     """
     fields = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     names = [key, size, *(f.split()[0] for f in fields.split(", "))]
 
-    def rows(items: list[bytes]) -> Iterator[tuple]:
+    def rows(items: list[bytes | None]) -> Iterator[tuple]:
         for data, images in zip(items, read_images(items)):
-            payload = stored_bytes(images)
+            try:
+                payload = stored_bytes(images or [])
+            except (ValueError, IndexError, AttributeError):
+                payload = b""
+            if not payload:
+                yield (None,) * 6
+                continue
             feature = ";".join(f"{m.width}x{m.height}:{thumbnail_hash(p):016x}" for m, p in images)
             yield len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = zip(*rows(batch.column(2).to_pylist()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns)], names=names)
+            for part in parts(batch, 2):
+                columns = zip(*rows(part.column(2).to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, columns, kinds)], names=names)
 
-    base = bounded(df).select(F.col(key), F.col(size), F.col(media))
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    base = df.select(F.col(key), F.col(size), F.col(media))
     return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, {size} bigint, {fields}")

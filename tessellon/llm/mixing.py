@@ -10,9 +10,10 @@ them, by broadcast only below a checked size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessellon.operators.tables import prefix_sums
 from tessellon.session import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -35,25 +36,22 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     Sources are ordered by code point with null last and take the weights in turn. A
     target that would pass ``most`` times its source stops there, and what is over goes
     to the others by weight until none is above. With sources in order of cap by weight
-    the level at which that ends is found in one pass: a source is full when the level
-    with it and all before it full does not fall below its own.
+    the level at which that ends is found by sums over the sources before each: a source
+    is full when the level with all before it full does not fall below its own. The sums
+    are range-partitioned, so no task holds all sources.
     """
-    placed = sizes.withColumn("one", F.lit(0)).withColumn("n", F.row_number().over(Window.partitionBy("one").orderBy(F.col("source").asc_nulls_last())) - 1)
+    ordered = prefix_sums(sizes, [F.col("source").isNull(), F.col("source")], {"n": F.lit(1)})
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
-    placed = placed.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.partitionBy("one").orderBy(F.col("cap") / F.col("weight"), "n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("one")
-    placed = (
-        placed.withColumn("full_before", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("weight_left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("all_of_it", F.sum("source_size").over(whole) * F.lit(float(share)))
-        .withColumn("level", (F.col("all_of_it") - F.col("full_before")) / F.col("weight_left"))
-    )
+    placed = ordered.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
+    placed = prefix_sums(placed, [F.col("cap") / F.col("weight"), F.col("n")], {"full_before": F.col("cap"), "weight_before": F.col("weight")})
+    placed, _ = written(placed, "mix-levels")
+    whole = placed.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")).first()
+    left = F.lit(float((whole["total"] or 0) * share)) - F.col("full_before")
+    placed = placed.withColumn("level", left / (F.lit(float(whole["weights"] or 1)) - F.col("weight_before")))
     # the first source that its level does not fill sets the level for itself and all after it
-    open_at = F.min(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "n", "level"))).over(whole)
-    target = F.least("cap", F.coalesce(F.col("open")["level"] * F.col("weight"), F.col("cap")))
-    placed = placed.withColumn("open", open_at).withColumn("target", target)
+    first = placed.where(F.col("level") * F.col("weight") < F.col("cap")).agg(F.min(F.struct(F.col("cap") / F.col("weight"), "n", "level")).alias("open")).first()["open"]
+    target = F.col("cap") if first is None else F.least("cap", F.lit(first["level"]) * F.col("weight"))
+    placed = placed.withColumn("target", target)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return placed.select("source", "source_size", "target", rate.alias("rate"))
 

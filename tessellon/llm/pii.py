@@ -1,9 +1,9 @@
 """Operator 2: personal data.
 
 Regular expressions propose spans, checksums confirm them (Luhn for cards, mod 97 for
-account numbers), and context words nearby raise or lower the score of the kinds whose
-form alone proves little. The four base kinds stand on form and checksum alone, so their
-spans never depend on context; account and social security numbers are added by score.
+account numbers), and context words nearby raise or lower every span's score. Spans of the four base kinds stand on form
+and checksum alone, so context moves their score but never drops one; account and social
+security numbers, whose form proves less, are added only by score.
 
 Every expression is written so that a long run of one class is read once: no repetition
 can be re-entered from the middle of a run, and an e-mail is found from its at sign.
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import bounded, map_texts
+from tessellon.llm.arrow import map_texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -30,8 +30,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_BLOCK = re.compile(r"[A-Z0-9]+")
+_IBAN = re.compile(r"(?i)(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", re.ASCII)
+_BLOCK = re.compile(r"[A-Za-z0-9]+")
 #: Characters of an account number by country.
 LENGTHS = {x[:2]: int(x[2:]) for x in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 "
@@ -43,11 +43,15 @@ _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9
 NEAR = 60
 FOR = {
     "iban": re.compile(r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b"),
+    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel)\b"),
+    "ip": re.compile(r"(?i)\b(?:ip|address|host|server|client|login|adresse)\b"),
+    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|credit|karte|carte|tarjeta)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|t[ée]l[ée]phone|tel[ée]fono)\b"),
     "ssn": re.compile(r"(?i)\b(?:ssn|social security|sozialversicherung|s[ée]curit[ée] sociale|seguridad social)\b"),
 }
 AGAINST = re.compile(r"(?i)\b(?:example|sample|order|invoice|serial|part|isbn|version)\b")
 #: Score of form and checksum alone, what a word for or against adds, and the least that counts.
-START, UP, DOWN, LEAST = {"iban": 0.7, "ssn": 0.4}, 0.3, -0.3, 0.5
+START, UP, DOWN, LEAST = {"email": 1.0, "ip": 1.0, "card": 1.0, "phone": 1.0, "iban": 0.7, "ssn": 0.4}, 0.3, -0.3, 0.5
 
 
 def luhn(digits: str) -> bool:
@@ -95,12 +99,13 @@ def phones(text: str) -> Iterator[Span]:
 
 def scored(text: str, kind: str, start: int, end: int) -> float:
     around = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}"
-    return round(START[kind] + UP * bool(FOR[kind].search(around)) + DOWN * bool(AGAINST.search(around)), 3)
+    return round(min(1.0, START[kind] + UP * bool(FOR[kind].search(around)) + DOWN * bool(AGAINST.search(around))), 3)
 
 
 def accounts(text: str) -> list[tuple[int, int]]:
     """Account numbers. A proposed span runs on over blanks into the words behind, so each end of a block in it is tried.
 
+    A number in lower case must have its country's length, since so many words could be one.
     Of overlapping numbers those of the length that their country asks for come first, then the leftmost, then the longest.
     """
     held: list[tuple[bool, int, int]] = []
@@ -109,8 +114,9 @@ def accounts(text: str) -> list[tuple[int, int]]:
         at, size = m.start() + 1, 0
         for block in _BLOCK.finditer(text, *m.span()):
             size += len(block.group())
-            if 15 <= size <= 34 and mod97(text[m.start() : block.end()].replace(" ", "")):
-                held.append((size != LENGTHS.get(m.group()[:2]), m.start(), -block.end()))
+            number, known = text[m.start() : block.end()].replace(" ", ""), LENGTHS.get(m.group()[:2].upper())
+            if 15 <= size <= 34 and (size == known or number.isupper()) and mod97(number):
+                held.append((size != known, m.start(), -block.end()))
     taken, out = bytearray(len(text) if held else 0), []
     for _, start, end in sorted(held):
         if taken.find(1, start, -end) < 0:
@@ -130,6 +136,7 @@ def added(text: str) -> Iterator[Span]:
 
 
 def base_spans(text: str) -> list[Span]:
+    """Spans of the base kinds with the score of form and checksum, before any context."""
     found: list[Span] = []
     if "@" in text:
         found += emails(text)
@@ -144,7 +151,7 @@ def base_spans(text: str) -> list[Span]:
 def spans(text: str | None) -> list[Span]:
     """All spans (start, end, kind, score) in code points, end exclusive, by start and then kind."""
     text = text or ""
-    found = base_spans(text)
+    found = [(start, end, kind, scored(text, kind, start, end)) for start, end, kind, _ in base_spans(text)]
     if any(map(text.__contains__, "0123456789")):
         found += added(text)
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
@@ -200,5 +207,5 @@ def redacted(docs: DataFrame, text: str = "text", size: str = "n_chars") -> Data
     def without(texts: pd.Series) -> pd.Series:
         return texts.map(redact, na_action="ignore")
 
-    out = bounded(docs).withColumn(text, without(docs[text]))
+    out = docs.withColumn(text, without(docs[text]))
     return out.withColumn(size, F.char_length(out[text]).cast(docs.schema[size].dataType)) if size in docs.columns else out

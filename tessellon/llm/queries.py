@@ -63,7 +63,8 @@ def op8_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate in every document, with the forest's score and verdict."""
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(secrets.labelled_findings()))
+    words = public_tokenizers.path(BPE_FILE)
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(secrets.labelled_findings(), words), words)
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,11 +5,13 @@ private key blocks, and long runs that mix letters and digits. A random forest t
 removes false findings. It sees a candidate's length, its character transitions, how far
 words of a dictionary cover it, the path of its document and the words beside it. It is
 trained from labelled findings; ``labelled_findings`` makes a seeded set of them, of
-which ``FINDINGS`` are used by default.
+which ``FINDINGS`` are used by default. The dictionary is the words of a public
+tokenizer's vocabulary, whose path is a parameter.
 """
 
 from __future__ import annotations
 
+import base64
 import random
 import re
 import string
@@ -18,15 +20,18 @@ from dataclasses import dataclass
 from functools import lru_cache
 from math import log2
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import bounded
+from tessellon.llm.arrow import parts
 
 FINDINGS, SEED = 4_000, 31
 TREES, DEPTH, LEAST_LEAF = 40, 9, 4
+#: Letters of a dictionary's word at least.
+LEAST_WORD = 4
 #: Characters on each side whose words are neighbours.
 NEAR = 48
 
@@ -42,11 +47,7 @@ _VALUE = re.compile(r"[:=]{0,2}\s{0,3}[\"']?([^\s\"'<>,;]{6,})")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
 _WORD = re.compile(r"[A-Za-z]{3,}")
 
-#: Words that placeholders are made of, and neighbours that speak for or against a finding.
-DICTIONARY = (
-    "abc admin api auth change changeme client code config data default demo dummy enter example fake file foo from here hello host insert key local login main my name none null "
-    "pass password path placeholder private public replace sample secret server some string test text the this todo token type url user value version word xxx your"
-).split()
+#: Neighbours that speak for or against a finding, and paths of what is no real code.
 FOR = frozenset("password passwd pwd secret token key credential auth login apikey api access bearer aws".split())
 AGAINST = frozenset("example sample dummy fake placeholder test commit sha sha1 sha256 md5 hash checksum digest revision uuid guid build version isbn etag blob".split())
 PATHS = re.compile(r"(?i)test|example|sample|fixture|mock|doc")
@@ -93,23 +94,31 @@ def _kind_of(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def covered(value: str) -> float:
-    """The share of a value's characters that dictionary words cover, longest words first."""
-    low, free = value.lower(), bytearray(len(value))
-    for word in _longest_first():
-        at = low.find(word)
-        while at >= 0:
-            free[at : at + len(word)] = b"\1" * len(word)
-            at = low.find(word, at + 1)
-    return sum(free) / max(len(value), 1)
+@lru_cache(maxsize=2)
+def dictionary(vocabulary: str) -> ahocorasick.Automaton:
+    """The words of a tokenizer's rank file, those of ``LEAST_WORD`` letters or more that it has at the start of a word, ready to be searched for."""
+    words = ahocorasick.Automaton()
+    with open(vocabulary, "rb") as lines:
+        for line in lines:
+            token = base64.b64decode(line.split()[0])
+            if token[:1] == b" " and len(token) > LEAST_WORD and token[1:].isalpha() and token.isascii():
+                word = token[1:].decode().lower()
+                words.add_word(word, len(word))
+    words.make_automaton()
+    return words
 
 
-@lru_cache(maxsize=1)
-def _longest_first() -> list[str]:
-    return sorted(DICTIONARY, key=len, reverse=True)
+def covered(value: str, vocabulary: str) -> float:
+    """The share of a value's characters that words of the dictionary cover."""
+    marked = bytearray(len(value))
+    low = value.lower()
+    if len(low) == len(value):
+        for end, size in dictionary(vocabulary).iter(low):
+            marked[end + 1 - size : end + 1] = b"\1" * size
+    return sum(marked) / max(len(value), 1)
 
 
-def measured(f: Finding, path: str | None) -> list[float]:
+def measured(f: Finding, path: str | None, vocabulary: str) -> list[float]:
     """The forest's view of a finding, in the order of ``NAMES``."""
     v, n = f.value, max(len(f.value), 1)
     counts = [v.count(c) for c in set(v)]
@@ -128,7 +137,7 @@ def measured(f: Finding, path: str | None) -> list[float]:
         sum(c in "aeiouAEIOU" for c in v) / n,
         sum(a == b for a, b in zip(v, v[1:])) / n,
         longest / n,
-        covered(v),
+        covered(v, vocabulary),
         float(bool(PATHS.search(path or ""))),
         float(len(near & FOR)),
         float(len(near & AGAINST)),
@@ -186,6 +195,10 @@ class Forest:
         return total / len(self.trees)
 
 
+#: What made-up placeholders are put together of.
+FILLERS = "admin change default demo dummy enter example fake here insert key login name password placeholder replace sample secret some test token user value your".split()
+
+
 def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, int]]:
     """(text, path, label): a seeded set of lines, each with a secret (1) or with what only looks like one (0)."""
     rng = random.Random(seed)
@@ -205,12 +218,12 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
         lambda: assign(some(letters + digits + "!#$%&*+-_/", rng.randrange(9, 30))),
         lambda: "Bearer " + some(letters + digits + "-_", rng.randrange(24, 60)),
     ]
-    part = lambda: "".join(rng.choice([w.capitalize(), w, w.upper(), w + rng.choice("-_")]) for w in rng.choices(DICTIONARY, k=rng.randrange(2, 5)))
+    part = lambda: "".join(rng.choice([w.capitalize(), w, w.upper(), w + rng.choice("-_")]) for w in rng.choices(FILLERS, k=rng.randrange(2, 5)))
     false = [
         lambda: "AKIA" + rng.choice(["EXAMPLE", "SAMPLE", "TESTKEY", "XXXXXXX"]).ljust(16, rng.choice("XA0E")),
         lambda: assign(part()),
         lambda: assign(rng.choice("x*0a.") * rng.randrange(6, 24)),
-        lambda: assign(rng.choice(["", "my"]) + rng.choice(DICTIONARY) + rng.choice(["123", "1234", "-here", "_value", ""]) + rng.choice(DICTIONARY)),
+        lambda: assign(rng.choice(["", "my"]) + rng.choice(FILLERS) + rng.choice(["123", "1234", "-here", "_value", ""]) + rng.choice(FILLERS)),
         lambda: f"{rng.choice(['commit', 'sha1', 'checksum', 'revision', 'md5', 'etag'])} {some('0123456789abcdef', rng.choice([32, 40, 64]))}",
         lambda: f"{rng.choice(['uuid', 'guid', 'build'])} {'-'.join(some('0123456789abcdef', n) for n in (8, 4, 4, 4, 12))}",
         lambda: f"{word()}-{word()}-{word()}-{word()}-{rng.randrange(2000)}-{word()}",
@@ -222,45 +235,50 @@ def labelled_findings(count: int = FINDINGS, seed: int = SEED) -> list[tuple[str
     out = []
     for i in range(count):
         made = rng.choice(real if i % 2 else false)()
-        path = rng.choice(["src", "web", "app", "src7", "src12"]) if i % 2 or rng.random() < 0.6 else rng.choice(["tests/unit", "examples", "docs", "fixtures"])
-        hint = rng.choice(DICTIONARY[:8]) + " example " if not i % 2 and rng.random() < 0.2 else ""
+        path = rng.choice(["lib/net", "web", "app/main", "deploy"]) if i % 2 or rng.random() < 0.6 else rng.choice(["tests/unit", "examples", "docs", "fixtures"])
+        hint = rng.choice(FILLERS) + " example " if not i % 2 and rng.random() < 0.2 else ""
         out.append((f"{phrase()} {hint}{made} {phrase()}", path, i % 2))
     return out
 
 
-def trained(labelled: list[tuple[str, str, int]], seed: int = SEED) -> Forest:
+def trained(labelled: list[tuple[str, str, int]], vocabulary: str, seed: int = SEED) -> Forest:
     """A forest from labelled lines (text, path, label); every candidate in a line has its label."""
     rows, ys = [], []
     for text, path, label in labelled:
         for f in candidates(text):
-            rows.append(measured(f, path))
+            rows.append(measured(f, path, vocabulary))
             ys.append(label)
     if not rows:
         raise ValueError("no labelled line holds a candidate")
     return Forest(np.array(rows), np.array(ys, float), seed=seed)
 
 
-def scan(df: DataFrame, forest: Forest, key: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
+def scan(df: DataFrame, forest: Forest, vocabulary: str, key: str = "doc_id", text: str = "text", path: str = "source", threshold: float = 0.5) -> DataFrame:
     """(key, start, end, kind, score, is_secret) of every candidate in every text.
 
-    Spans are in code points, end exclusive. Null and empty texts have no candidates, a
-    null path is no evidence, repeated rows give their findings again, and an empty
-    table gives no rows.
+    ``vocabulary`` is the path of a rank file that every executor has, whose words are
+    the dictionary. ``path`` is a column that says where a text comes from; it needs not be
+    a file's path. Spans are in code points, end exclusive, and no two of a text overlap.
+    Whole texts are searched, however long. Null and empty texts have no candidates, a
+    null path is no evidence, equal candidates in one text or in repeated rows are each
+    given and score alike where their surroundings are alike, and an empty table gives no
+    rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, found, rows = [], [], []
-            for i, (t, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for f in candidates(t):
-                    owner.append(i)
-                    found.append(f)
-                    rows.append(measured(f, p))
-            if rows:
-                score = forest.scores(np.array(rows)).round(6)
-                columns = [batch.column(0).take(pa.array(owner)), pa.array([f.start for f in found], pa.int64()), pa.array([f.end for f in found], pa.int64()), pa.array([f.kind for f in found]), pa.array(score), pa.array(score >= threshold)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part in parts(batch):
+                owner, found, rows = [], [], []
+                for i, (t, p) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    for f in candidates(t):
+                        owner.append(i)
+                        found.append(f)
+                        rows.append(measured(f, p, vocabulary))
+                if rows:
+                    score = forest.scores(np.array(rows)).round(6)
+                    columns = [part.column(0).take(pa.array(owner)), pa.array([f.start for f in found], pa.int64()), pa.array([f.end for f in found], pa.int64()), pa.array([f.kind for f in found]), pa.array(score), pa.array(score >= threshold)]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = [key, "start", "end", "kind", "score", "is_secret"]
-    base = bounded(df).select(F.col(key), F.col(text), F.col(path).cast("string"))
+    base = df.select(F.col(key), F.col(text), F.col(path).cast("string"))
     return base.mapInArrow(run, f"{key} {base.schema[key].dataType.simpleString()}, start bigint, end bigint, kind string, score double, is_secret boolean")

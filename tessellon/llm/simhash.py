@@ -22,16 +22,18 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import bounded, map_texts
-from tessellon.operators.components import connected_components
-from tessellon.session import written
+from tessellon.llm.arrow import map_texts
+from tessellon.operators.components import connected_components, with_least
+from tessellon.session import dropped, written
 
 BITS, SEED = 64, 42
 #: Distinct fingerprints that may meet on one block value by comparing pairs.
 DENSE = 1_024
+#: Shingles that vote at once.
+VOTES = 1 << 16
 #: Chance meetings of a fingerprint that are still cheap; beyond it a layout of more blocks is used.
 MEETINGS = 200
 
@@ -55,8 +57,10 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]) or digest(line, SEED)
     octets = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    seen = np.bincount((octets + _BYTE_OFFSETS).ravel(), minlength=2048).reshape(8, 256)
-    votes = (seen @ _BIT_OF_BYTE).ravel()
+    seen = np.zeros(2048, np.int64)
+    for at in range(0, len(octets), VOTES):  # a long text's shingles vote a slice at a time
+        seen += np.bincount((octets[at : at + VOTES] + _BYTE_OFFSETS).ravel(), minlength=2048)
+    votes = (seen.reshape(8, 256) @ _BIT_OF_BYTE).ravel()
     return int(np.packbits(votes * 2 > len(octets)).view(">i8")[0])
 
 
@@ -123,12 +127,15 @@ def links_by_centre(prints: DataFrame, distance: int) -> DataFrame:
 def grouped(df: DataFrame, distance: int, words: int, key: str, text: str, blocks: int | None, dense: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows (id, fp), and the groups (fp, component, low) of the distinct ones.
 
-    ``component`` is the least fingerprint of a group, ``low`` the least id of a fingerprint.
+    ``component`` is the least fingerprint of a group, ``low`` the least id of a fingerprint. Both are written tables.
     """
+    scratch: list[str] = []
     prints, _ = written(fingerprints(df, words, key, text).withColumnsRenamed({key: "id"}), "simhash")
-    distinct, _ = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct")
+    distinct, _ = written(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-distinct", scratch)
     joined = connected_components(links(distinct.select("fp"), distance, blocks, dense), "a", "b").withColumnRenamed("node", "fp")
-    return prints, distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "low")
+    groups, _ = written(distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "low"), "simhash-groups")
+    dropped(df.sparkSession, scratch)
+    return prints, groups
 
 
 def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", blocks: int | None = None, dense: int = DENSE) -> DataFrame:
@@ -140,28 +147,38 @@ def near_duplicates(df: DataFrame, distance: int = 4, words: int = 4, key: str =
     rows stay; an empty table gives no rows.
     """
     prints, groups = grouped(df, distance, words, key, text, blocks, dense)
-    lowest = groups.groupBy("component").agg(F.min("low").alias("lowest"))
+    scratch: list[str] = []
+    lowest = with_least(groups, "component", "low", "lowest", groups.count(), scratch)
     # written, so that both sides of the last join come straight from a shuffle and a fingerprint of many copies can be split
-    named, _ = written(groups.join(lowest, "component").select("fp", "lowest"), "simhash-named")
+    named, _ = written(lowest.select("fp", "lowest"), "simhash-named")
+    dropped(df.sparkSession, scratch)
     return prints.join(named, "fp").select(F.col("id").alias(key), "fp", F.col("lowest").alias("component"))
 
 
 def deduplicated(df: DataFrame, distance: int = 4, words: int = 4, key: str = "doc_id", text: str = "text", blocks: int | None = None, dense: int = DENSE) -> DataFrame:
     """``df`` with one row of each group of near duplicates: that of the smallest key, null keys last.
 
-    Columns stay as they are. Of repeated rows one stays.
+    Columns stay as they are. Of rows with one key and fingerprint, repeated rows among
+    them, that of the least hash over all columns stays.
     """
     _, groups = grouped(df, distance, words, key, text, blocks, dense)
     best = groups.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("fp"))).alias("best")).select("best.low", "best.fp")
-    best = best.select(F.xxhash64("low", "fp").alias("h"), "fp")
 
     @F.pandas_udf("bigint")
     def print_of(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t, words))
 
     # called nondeterministic so that no filter is pushed below it, which would compute it twice
-    rows = bounded(df).select(F.struct(*df.columns).alias("row"), print_of.asNondeterministic()(df[text]).alias("fp"))
-    # for one fingerprint the hash of an integer key is that key's alone, so both name the row, null keys included
-    rows = rows.select("row", "fp", F.xxhash64(F.col("row")[key], F.col("fp")).alias("h"))
-    first = F.row_number().over(Window.partitionBy("h", "fp").orderBy("h"))
-    return rows.join(best, ["h", "fp"]).withColumn("n", first).where("n = 1").select("row.*")
+    rows = df.select(F.struct(*df.columns).alias("row"), print_of.asNondeterministic()(df[text]).alias("fp"))
+    return one_each(rows, best.withColumnRenamed("fp", "name"), "fp", key)
+
+
+def one_each(rows: DataFrame, best: DataFrame, name: str, key: str) -> DataFrame:
+    """For each of ``best`` (low, name) one of ``rows`` (row, <name>) with that key and name, null keys included.
+
+    Rows of one key and name are folded before they are shuffled, so many copies without
+    a key make no large group.
+    """
+    same = (F.col(name) == best["name"]) & F.col(f"row.{key}").eqNullSafe(best["low"])
+    left = rows.join(best, same).groupBy("name", "low").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return left.select("row.*")

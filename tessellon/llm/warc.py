@@ -8,9 +8,11 @@ ISO timestamp, a record type and SHA-1 digests. Records whose payload equals tha
 response become revisits of it, which carry the HTTP header alone.
 
 Archives are written as plain text files whose records follow one another, through
-Spark's writer, so any store that Spark reaches will do; they are read back as whole
-files of a bounded number of records and walked by declared length, so nothing inside a
-payload can be taken for a record.
+Spark's writer, so any store that Spark reaches will do. An archive is as large as the
+pages that its task reads. Every record begins with the version line and an extension
+field that names the archive run; that pair of lines, which no page can foresee, is what
+Spark's reader splits the files at, so large archives are read in parts, by many tasks. A
+record that is split off is still checked against its declared length and its digests.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm.arrow import bounded
+from tessellon.llm.arrow import parts
 from tessellon.session import shared_path, written
 
-#: Records in an archive file at most, and the payload size from which equal payloads are revisits.
-RECORDS, LEAST_BYTES = 200, 0
+#: The payload size from which equal payloads are revisits.
+LEAST_BYTES = 0
+#: The extension field that names an archive run.
+RUN = "WARC-X-Run"
 #: Repeated payloads (about 60 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST = 50_000
 #: Field names of each version's header line.
@@ -94,14 +98,18 @@ def page_of(name: str) -> int | None:
     return (number - (1 << 64) if number >> 63 else number) if bits >> 64 & 1 else None
 
 
-def warc_record(fields: dict[str, str], body: bytes, refers_to: int | None) -> str:
+def opening(run: str) -> str:
+    """What every record of an archive run begins with."""
+    return f"WARC/1.1\r\n{RUN}: {run}\r\n"
+
+
+def warc_record(fields: dict[str, str], body: bytes, refers_to: int | None, run: str) -> str:
     """The WARC record of a legacy one; with ``refers_to`` a revisit of that page's response."""
     http, head, payload = split_http(body)
     digest, revisit = base32_sha1(payload), refers_to is not None
     block = head if revisit else body
     date = fields["date"]
     lines = [
-        "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id(http['x-page'], digest)}",
         f"WARC-Date: {date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z",
@@ -113,7 +121,7 @@ def warc_record(fields: dict[str, str], body: bytes, refers_to: int | None) -> s
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(block)}",
     ]
-    return "\r\n".join(lines) + "\r\n\r\n" + block.decode("utf-8", "surrogatepass") + "\r\n\r\n"
+    return opening(run) + "\r\n".join(lines) + "\r\n\r\n" + block.decode("utf-8", "surrogatepass") + "\r\n\r\n"
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,6 +134,8 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("a record does not begin where the one before it ends")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         start, length = end + 4, int(fields["content-length"])
+        if data[start + length : start + length + 4] != b"\r\n\r\n":
+            raise ValueError("a record does not end where its declared length says")
         yield fields, data[start : start + length]
         at = start + length + 4
 
@@ -157,50 +167,62 @@ def with_responses(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     return keyed.join(last, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
-def to_records(pages: DataFrame, version: int = 2) -> DataFrame:
+def to_records(pages: DataFrame, version: int, run_name: str) -> DataFrame:
     """(record string): the WARC record of each row (page_id, url, html, refers_to), by way of its legacy record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, RECORDS):
-                part = batch.slice(i, RECORDS).to_pylist()
-                out = [warc_record(*legacy, row["refers_to"]) for row in part for legacy in parse_arc(arc_record(row["page_id"], row["url"], row["html"], version), version)]
+            for part in parts(batch, 2):
+                out = [warc_record(*legacy, row["refers_to"], run_name) for row in part.to_pylist() for legacy in parse_arc(arc_record(row["page_id"], row["url"], row["html"], version), version)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["record"])
 
-    return bounded(pages).select("page_id", "url", "html", "refers_to").mapInArrow(run, "record string")
+    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "record string")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write archives of at most ``RECORDS`` records each. The writer ends each value with a line feed, which is a record's last byte."""
-    records.select(F.expr("substr(record, 1, length(record) - 1)")).write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS).text(path)
+    """Write archives, one for each task. The writer ends each value with a line feed, which is a record's last byte."""
+    records.select(F.expr("substr(record, 1, length(record) - 1)")).write.option("lineSep", "\n").text(path)
+
+
+def run_of(spark: SparkSession, path: str) -> str | None:
+    """The name of the run that wrote the archives below ``path``, None where they hold nothing."""
+    lines = spark.read.option("lineSep", "\r\n").text(path).where(F.col("value").startswith(f"{RUN}: ")).select("value").first()
+    return lines["value"].partition(": ")[2] if lines else None
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives below ``path``."""
+def read_archives(spark: SparkSession, path: str, run_name: str | None = None) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record of the archives of one run below ``path``."""
+    begin = opening(run_name or run_of(spark, path) or "none")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                rows = [described(*record) for record in parse_warc(content.as_py())]
+            for part in parts(batch, 0):
+                rows = []
+                for content in part.column(0).to_pylist():
+                    found = list(parse_warc((begin + content).encode("utf-8", "surrogatepass")))
+                    if len(found) != 1:
+                        raise ValueError("what lies between two openings is not one record")
+                    rows.append(described(*found[0]))
                 columns = zip(*rows) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
-    return bounded(files).select("content").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    records = spark.read.option("lineSep", begin).text(path).where("value <> ''")  # nothing comes before a file's first record
+    return records.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 
 def convert(pages: DataFrame, version: int = 2, least_bytes: int = LEAST_BYTES, path: str | None = None) -> DataFrame:
     """Archive all pages and read the archives back: one row for each page.
 
-    A null page text is an empty payload, a null address is written as ``urn:none``, a
+    Page numbers are integers. A null page text is an empty payload, a null address is written as ``urn:none``, a
     null page number stays null and never names a response unless nothing else does;
     repeated rows of the largest page are all responses; an empty table gives no rows.
     """
     spark, path = pages.sparkSession, path or shared_path(pages.sparkSession, "warc")
-    write_archives(to_records(with_responses(pages, least_bytes), version), path)
-    return read_archives(spark, path)
+    run_name = uuid.uuid4().hex
+    write_archives(to_records(with_responses(pages, least_bytes), version, run_name), path)
+    return read_archives(spark, path, run_name)
 
 
 #: DuckDB SQL for the rows of ``convert`` over ``pages``: base32 is five hexadecimal digits to four letters.

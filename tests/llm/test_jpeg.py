@@ -135,3 +135,10 @@ def test_operator_rows(spark):
     odd = spark.createDataFrame([(1, None), (2, b"no image")], "doc_id long, media binary")
     assert {tuple(r)[1:] for r in jpeg.describe(odd).collect()} == {(None, None, None, None)}
     assert jpeg.read_texts(jpeg.store_texts(df.limit(0))).count() == 0
+
+
+def test_media_that_are_no_images(spark):
+    rows = [(1, 4, None), (2, 4, bytearray(b"")), (3, 4, bytearray(b"not an image")), (4, None, bytearray(b"\xff\xd8\xff\xd9"))]
+    df = spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")
+    for r in jpeg.read_texts(df).collect():
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == (None,) * 6

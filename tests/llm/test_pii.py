@@ -82,3 +82,22 @@ def test_operator_rows(spark):
     assert got == [full, full, (2, *none), (3, *none)]
     assert [r.text for r in pii.redacted(df).orderBy("doc_id").collect()] == ["write [EMAIL] or [IP]"] * 2 + [None, ""]
     assert pii.find_pii(df.limit(0)).count() == pii.redacted(df.limit(0)).count() == 0
+
+
+def test_accounts_with_words_behind_and_in_lower_case():
+    for text, number in (
+        ("IBAN GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L", "GB82 WEST 1234 5698 7654 32"),
+        ("IBAN GB82WEST12345698765432 AND MORE", "GB82WEST12345698765432"),
+        ("account DE89370400440532013000 OK", "DE89370400440532013000"),
+        ("IBAN DE89 3704 0044 0532 0130 00 IS VALID", "DE89 3704 0044 0532 0130 00"),
+        ("pay to de89370400440532013000 today", "de89370400440532013000"),
+        ("konto de89 3704 0044 0532 0130 00 bitte", "de89 3704 0044 0532 0130 00"),
+    ):
+        assert [text[a:b] for a, b, kind, _ in pii.spans(text) if kind == "iban"] == [number]
+    assert not [s for s in pii.spans("ab12 some more words in lower case " * 50) if s[2] == "iban"]
+
+
+def test_context_moves_scores_of_base_kinds_but_drops_none():
+    far = " filler" * 20
+    text = f"call +1 202 555 0143{far} order +1 202 555 0143{far} call order +1 202 555 0143{far} +1 202 555 0143"
+    assert [s[3] for s in pii.spans(text) if s[2] == "phone"] == [1.0, 0.7, 1.0, 1.0]

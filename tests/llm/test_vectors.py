@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tessellon.llm import vectors
 
@@ -67,14 +68,46 @@ def test_copies_null_keys_and_repeated_rows(spark):
 def test_estimates_are_unbiased_and_within_their_bounds():
     rng = np.random.default_rng(2)
     errors, inside = [], []
-    for trial in range(400):
-        a, b = (x / np.linalg.norm(x) for x in rng.normal(size=(2, 64)))
-        turn = np.linalg.qr(rng.normal(size=(64, 64)))[0]
-        signs, factor = np.where(turn @ a > 0, 1, -1) / 8, np.abs(turn @ a).sum() / 8
-        error = signs @ (turn @ b) / factor - a @ b
-        errors.append(error)
-        inside.append(abs(error) <= vectors.ERRORS * (1 - factor**2) ** 0.5 / factor / 63**0.5)
-    assert abs(np.mean(errors)) < 0.02 and np.mean(inside) > 0.995
+    for trial in range(1_500):
+        units = rng.normal(size=(2, 64))
+        units[1] = units[0] * rng.random() * 2 + units[1]
+        units /= np.linalg.norm(units, axis=1, keepdims=True)
+        code, factor, planes, base, step = vectors.codes(units)
+        met = sum(int(np.bitwise_count(code[0] & planes[1].reshape(vectors.LEVELS, -1)[p]).sum()) << p for p in range(vectors.LEVELS))
+        all_ = sum(int(np.bitwise_count(planes[1].reshape(vectors.LEVELS, -1)[p]).sum()) << p for p in range(vectors.LEVELS))
+        signs = 2 * int(np.bitwise_count(code[0]).sum()) - 64
+        guess = (base[1] * signs + step[1] * (2 * met - all_)) / 8 / factor[0]
+        errors.append(guess - units[0] @ units[1])
+        inside.append(abs(errors[-1]) <= vectors.ERRORS * (np.sqrt(1 - factor[0] ** 2) / 63**0.5 + step[1] / 2) / factor[0])
+    assert abs(np.mean(errors)) < 0.01 and np.mean(inside) > 0.998
+
+
+def test_pairs_at_the_threshold_meet_as_often_as_promised():
+    rng = np.random.default_rng(3)
+    bits, count = vectors.tables(50_000)
+    for dim in (8, 64):
+        a = rng.normal(size=(1_500, dim))
+        b = rng.normal(size=(1_500, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (b * a).sum(1, keepdims=True) * a
+        b = 0.9 * a + (1 - 0.81) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+        assert (vectors.table_keys(a, bits, count) == vectors.table_keys(b, bits, count)).any(1).mean() > 0.96
+
+
+def test_open_rows_hold_every_link():
+    rows = [r for r in planted(seed=9) if r[0] < 400]
+    units = np.array([vectors.unit(v) for _, v in rows])
+    code, factor, planes, base, step = vectors.codes(units)
+    n = len(units)
+    raw = lambda w: pa.array([x.tobytes() for x in w], pa.binary())
+    zeros = pa.array(np.zeros(n, np.int32))
+    table = pa.table({"k": pa.array(np.zeros(n, np.int64)), "i": zeros, "j": zeros, "side": zeros, "other": zeros, "cls": raw(units), "dim": pa.array(np.full(n, 64, np.int32)), "code": raw(code), "factor": factor, "planes": raw(planes), "base": base, "step": step})
+    open_ = vectors.open_rows(table, 0.9)
+    sims = units @ units.T - np.eye(n)
+    linked = (sims >= 0.9).any(1)
+    assert open_[linked].all()
+    by_eights = table.set_column(0, "k", pa.array(np.arange(n) // 8))
+    assert vectors.open_rows(by_eights, 0.9)[:144].mean() < 0.1
 
 
 def test_empty_table(spark):

@@ -42,6 +42,21 @@ def test_least_bytes(spark):
     assert sorted((tuple(r) for r in warc.convert(df, least_bytes=20).collect()), key=str) == plain(ROWS, 20)
 
 
+def test_large_archives_are_read_in_parts(spark, tmp_path):
+    rows = [(i, f"http://x/{i}", f"page {i % 300} " * 400 + "\r\n\r\nWARC/1.1\r\nWARC-X-Run: 0\r\n" * (i % 3)) for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "200000")
+    try:
+        got = warc.convert(df, path=str(tmp_path / "a"))
+        assert got.rdd.getNumPartitions() > 5
+        assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
+        assert sorted((tuple(r) for r in warc.read_archives(spark, str(tmp_path / "a")).collect()), key=str) == plain(rows)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_no_pages(spark):
     assert warc.convert(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -56,7 +71,7 @@ def test_archive_bytes():
     one, two = (warc.arc_record(7, "u v", "x", v) for v in (1, 2))
     assert len(one.split(b"\n")[0].split(b" ")) == 5 and len(two.split(b"\n")[0].split(b" ")) == 10
     fields, body = next(warc.parse_arc(two, 2))
-    data = (warc.warc_record(fields, body, None) + warc.warc_record(fields, body, 9)).encode()
+    data = (warc.warc_record(fields, body, None, "r") + warc.warc_record(fields, body, 9, "r")).encode()
     (first, block), (second, short) = warc.parse_warc(data)
     assert first["warc-date"] == "1970-01-01T00:00:00Z" and block == body and second["warc-type"] == "revisit" and short.endswith(b"\r\n\r\n")
     assert warc.page_of(second["warc-refers-to"]) == 9
