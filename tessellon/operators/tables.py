@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 from tessellon.session import written
 
 
+def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, under each name, the sum of a column over all rows before, 0 on the first. ``order`` should leave no ties.
+
+    Rows are range-partitioned, summed within partitions and moved up by the sums of the
+    partitions before, of which there is one row each, so no task sees all rows.
+    """
+    before = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    spread = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    own = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b_{n}") for n, c in sums.items()]
+    place, _ = written(spread.select("*", *(c.alias(f"__o_{n}") for n, c in sums.items()), *own), "prefix-sums")
+    every = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    whole = place.groupBy("__p").agg(*(F.sum(f"__o_{n}").alias(f"__t_{n}") for n in sums))
+    whole = whole.select("__p", *(F.coalesce(F.sum(f"__t_{n}").over(every), F.lit(0)).alias(f"__t_{n}") for n in sums))
+    return place.join(F.broadcast(whole), "__p").select(*df.columns, *((F.col(f"__b_{n}") + F.col(f"__t_{n}")).alias(n) for n in sums))
+
+
 def numbered(df: DataFrame, order: list[str], name: str, first: Column | int = 1) -> DataFrame:
     """``df`` with consecutive ids in the order of a natural key.
 

@@ -221,6 +221,18 @@ def test_tables(spark):
     assert all(r.n == r.k + 1 for r in ids)
 
 
+def test_prefix_sums(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice([None, "a", "b", "c"]), rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, s string, x int").repartition(5)
+    got = {r.i: (r.before, r.n) for r in tables.prefix_sums(df, [F.col("s").isNull(), F.col("s"), F.col("i")], {"before": F.col("x"), "n": F.lit(1)}).collect()}
+    total = 0
+    for n, (i, _, x) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[0]))):
+        assert got[i] == (total, n)
+        total += x
+    assert tables.prefix_sums(df.limit(0), [F.col("i")], {"n": F.lit(1)}).count() == 0
+
+
 def test_all_pairs_blocks_and_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(60, 5)))] + [(99, None)]
