@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from tessellon.operators import components
 from tessellon.operators.components import connected_components
 
 
@@ -18,7 +21,9 @@ def union_find(edges):
     return {x: root(x) for x in parent}
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_components_equal_union_find(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(components, "BROADCAST", broadcast)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
     df = spark.createDataFrame([*edges, (None, 5), (7, 7)], "a long, b long")
