@@ -170,15 +170,8 @@ def deduplicated(df: DataFrame, distance: int = 4, words: int = 4, key: str = "d
 
     # called nondeterministic so that no filter is pushed below it, which would compute it twice
     rows = df.select(F.struct(*df.columns).alias("row"), print_of.asNondeterministic()(df[text]).alias("fp"))
-    return one_each(rows, best.withColumnRenamed("fp", "name"), "fp", key)
-
-
-def one_each(rows: DataFrame, best: DataFrame, name: str, key: str) -> DataFrame:
-    """For each of ``best`` (low, name) one of ``rows`` (row, <name>) with that key and name, null keys included.
-
-    Rows of one key and name are folded before they are shuffled, so many copies without
-    a key make no large group.
-    """
-    same = (F.col(name) == best["name"]) & F.col(f"row.{key}").eqNullSafe(best["low"])
-    left = rows.join(best, same).groupBy("name", "low").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    return left.select("row.*")
+    rows = rows.select("row", "fp", F.xxhash64(F.col("row")[key], F.col("fp")).alias("h"))
+    best = best.select("fp", F.xxhash64("low", "fp").alias("h"), "low")
+    # the hash makes keys null-safe for the join; the key itself decides
+    left = rows.join(best, ["h", "fp"]).where(F.col("row")[key].eqNullSafe(F.col("low")))
+    return left.groupBy("h", "fp").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
