@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,6 +61,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside are deleted as each query ends; the session's setting comes back after.
+
+    Otherwise they stay until the driver happens to collect garbage, so the disks of a
+    long job hold the shuffles of all its steps. A query that is lost on the way still
+    has its own.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
@@ -67,7 +86,8 @@ def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> tuple
     ``scratch`` takes the path, for a caller that drops what it no longer needs.
     """
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     if scratch is not None:
         scratch.append(path)
     return spark.read.schema(df.schema).parquet(path), path
