@@ -16,6 +16,8 @@ there. That work is linear in the members, and exact.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from itertools import accumulate, combinations
 from math import comb
 
@@ -32,36 +34,51 @@ from tessellon.session import dropped, written
 BITS, SEED = 64, 42
 #: Distinct fingerprints that may meet on one block value by comparing pairs.
 DENSE = 1_024
-#: Shingles that vote at once.
-VOTES = 1 << 16
+#: Bytes of text whose shingles are hashed at once.
+SLICE = 1 << 18
 #: Chance meetings of a fingerprint that are still cheap; beyond it a layout of more blocks is used.
 MEETINGS = 200
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BYTE_OFFSETS = np.arange(8) * 256
 _BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The signed 64-bit SimHash of a text: XXH64 of each shingle votes for each bit.
+def shingle_hashes(text: str | None, words: int, size: int | None = None) -> Iterator[np.ndarray]:
+    """The XXH64 of a text's shingles in order, a row of 8 octets each, for a slice of the text at a time.
 
     Only A-Z are lower-cased; words end at a space or at the characters 9 to 13. Fewer
-    words than a shingle make one shingle of them all; no words give 0.
+    words than a shingle make one shingle of them all; no words make none. A slice has
+    ``size`` bytes and what is left of its last word, so the lists of words stay short
+    however long the text is.
     """
-    parts = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not parts:
-        return 0
-    line = b" ".join(parts)
-    ends = list(accumulate(map(len, parts), lambda a, n: a + n + 1))
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]) or digest(line, SEED)
-    octets = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
-    seen = np.zeros(2048, np.int64)
-    for at in range(0, len(octets), VOTES):  # a long text's shingles vote a slice at a time
-        seen += np.bincount((octets[at : at + VOTES] + _BYTE_OFFSETS).ravel(), minlength=2048)
+    raw, size, digest = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER), size or SLICE, xxhash.xxh64_digest
+    at, before, none = 0, [], True
+    while at < len(raw):
+        blank = _BLANK.search(raw, at + size)
+        end = blank.start() if blank else len(raw)
+        parts = before + raw[at:end].split()
+        at = end
+        line = b" ".join(parts)
+        ends = list(accumulate(map(len, parts), lambda a, n: a + n + 1))
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        if hashes := b"".join([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]):
+            none = False
+            yield np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+        before = parts[max(0, len(parts) - words + 1) :]
+    if none and before:
+        yield np.frombuffer(digest(b" ".join(before), SEED), np.uint8).reshape(1, 8)
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The signed 64-bit SimHash of a text: the hash of each shingle votes for each bit; no words give 0."""
+    seen, count = np.zeros(2048, np.int64), 0
+    for octets in shingle_hashes(text, words):
+        seen += np.bincount((octets + _BYTE_OFFSETS).ravel(), minlength=2048)
+        count += len(octets)
     votes = (seen.reshape(8, 256) @ _BIT_OF_BYTE).ravel()
-    return int(np.packbits(votes * 2 > len(octets)).view(">i8")[0])
+    return int(np.packbits(votes * 2 > count).view(">i8")[0])
 
 
 def fingerprints(df: DataFrame, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -98,3 +98,13 @@ def test_layout_grows_with_the_count():
 
 def test_empty_table(spark):
     assert found(spark, []) == []
+
+
+def test_slices_of_a_long_text_hold_the_same_shingles():
+    rng = random.Random(3)
+    texts = ["", " ", "one", "one two three", "a" * 50, " a b ", *("".join(rng.choice("Ab \t\né") for _ in range(n)) for n in (5, 40, 400))]
+    for text in texts:
+        for words in (1, 2, 4, 5):
+            whole = [h.tobytes() for part in simhash.shingle_hashes(text, words) for h in part]
+            for size in (1, 2, 7, 33):
+                assert [h.tobytes() for part in simhash.shingle_hashes(text, words, size) for h in part] == whole
