@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellon.llm import bpe, fm, mixing, pii, shingles, toxicity
+from tessellon.llm import bpe, fm, mixing, near_copies, pii, toxicity
 from tessellon.llm.queries import BPE_FILE
 from tessellon.session import table, written
 
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by five-word shingles of similarity 0.8 or more."""
-    return shingles.deduplicated(docs)
+    """One document, that of the smallest doc_id, of each group linked by SimHash fingerprints and a check on five-word shingles."""
+    return near_copies.deduplicated(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

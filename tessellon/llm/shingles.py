@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellon.llm.arrow import map_texts, small_batches
@@ -63,13 +63,18 @@ def similar(common, a, b):
     return common * (PART + WHOLE) >= PART * (a + b)
 
 
+def shared(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The shingles that several of the sets hold, and for each set the places of those that it holds."""
+    flat = np.sort(np.concatenate(sets))
+    met = np.unique(flat[1:][flat[1:] == flat[:-1]])
+    del flat
+    return met, [np.searchsorted(met, s[among(s, met)]).astype(np.int32) for s in sets]
+
+
 def forest(a: list[np.ndarray], b: list[np.ndarray]) -> list[tuple[int, int]]:
     """Index pairs, into ``a`` followed by ``b``, that connect all similar sets of ``a`` and ``b`` to each other."""
     sizes = np.array([len(s) for s in [*a, *b]])
-    flat = np.sort(np.concatenate([*a, *b]))
-    met = np.unique(flat[1:][flat[1:] == flat[:-1]])  # other shingles are in one set only
-    del flat
-    held = [np.searchsorted(met, s[among(s, met)]).astype(np.int32) for s in [*a, *b]]
+    met, held = shared([*a, *b])
     rows, at = np.repeat(np.arange(len(sizes), dtype=np.int32), [len(h) for h in held]), np.concatenate(held)
     order = np.argsort(at, kind="stable")
     rows, at = rows[order], at[order]
@@ -98,7 +103,7 @@ def _texts(texts: DataFrame, sets: DataFrame, name: str, scratch: list[str]) ->
     return found.groupBy("sig").agg(F.first("text").alias("text"))
 
 
-def _sets(texts: DataFrame, sets: DataFrame, words: int, name: str, scratch: list[str]) -> DataFrame:
+def sets_of(texts: DataFrame, sets: DataFrame, words: int, name: str, scratch: list[str]) -> DataFrame:
     """(sig, set) of each of ``sets`` (sig, th)."""
 
     @F.pandas_udf("binary")
@@ -141,7 +146,7 @@ def links(texts: DataFrame, distinct: DataFrame, scratch: list[str], words: int
     near = (F.col("l.t") == F.col("r.t")) & (F.col("l.sig") < F.col("r.sig")) & similar(rest, F.col("l.n"), F.col("r.n"))
     ends = (F.struct(F.col(f"{side}.sig"), F.col(f"{side}.th")) for side in "lr")
     met, _ = written(few.alias("l").join(few.alias("r"), near).select(*(e.alias(side) for e, side in zip(ends, "ab"))).distinct(), "shingles-pairs", scratch)
-    sets = _sets(texts, met.select(F.explode(F.array("a", "b")).alias("s")).select("s.*"), words, "shingles-sets", held := [])
+    sets = sets_of(texts, met.select(F.explode(F.array("a", "b")).alias("s")).select("s.*"), words, "shingles-sets", held := [])
     pairs = met.select(F.col("a.sig").alias("a"), F.col("b.sig").alias("b"))
 
     @F.pandas_udf("boolean")
@@ -158,21 +163,29 @@ def links(texts: DataFrame, distinct: DataFrame, scratch: list[str], words: int
     return found if many.isEmpty() else found.unionByName(_crowded(texts, many, words, scratch))
 
 
+def dealt_in_cells(members: DataFrame, scratch: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``members`` (g, n, sig and more), written with its ``cell``; and its rows dealt to pairs (g, i, j) of cells of a group.
+
+    ``n`` is the size of a set. Pairs of cells that by their sizes hold no similar sets are left out.
+    """
+    weight = (F.col("n") + LEAST).cast("bigint")
+    placed = prefix_sums(members, [F.col("g"), F.col("n"), F.col("sig")], {"before": weight})  # over all groups: a group may be in one cell more, no task sees a whole one
+    placed, _ = written(placed.select(*members.columns, F.floor((F.col("before") + weight) / CELL).alias("cell")), "shingles-cells", scratch)
+    cells = placed.groupBy("g", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    x, y = cells.alias("x"), cells.alias("y")
+    tasks = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.cell") <= F.col("y.cell")) & (F.col("x.hi") * WHOLE >= F.col("y.lo") * PART))
+    tasks = tasks.select(F.col("x.g").alias("g"), F.col("x.cell").alias("i"), F.col("y.cell").alias("j"))
+    return placed, tasks.withColumn("cell", F.explode(F.array_distinct(F.array("i", "j")))).join(placed, ["g", "cell"])
+
+
 def _crowded(texts: DataFrame, many: DataFrame, words: int, scratch: list[str]) -> DataFrame:
     """Links of sets that meet on crowded shingles; shingles that one set begins with make one group of sets."""
     least, _ = written(many.groupBy("sig").agg(F.min("t").alias("low"), F.first("th").alias("th"), F.first("n").alias("n")), "shingles-least", scratch)
     ties = many.join(least.select("sig", "low"), "sig").select("t", "low").distinct()
     named = connected_components(ties, "t", "low").withColumnsRenamed({"node": "low", "component": "g"})
     members = least.join(named, "low", "left").select("sig", "th", "n", F.coalesce("g", "low").alias("g"))
-    weight = (F.col("n") + LEAST).cast("bigint")
-    members = prefix_sums(members, [F.col("g"), F.col("n"), F.col("sig")], {"before": weight})  # over all groups: a group may be in one cell more, no task sees a whole one
-    members, _ = written(members.select("sig", "th", "n", "g", F.floor((F.col("before") + weight) / CELL).alias("cell")), "shingles-cells", scratch)
-    cells = members.groupBy("g", "cell").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    x, y = cells.alias("x"), cells.alias("y")
-    tasks = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.cell") <= F.col("y.cell")) & (F.col("x.hi") * WHOLE >= F.col("y.lo") * PART))
-    tasks = tasks.select(F.col("x.g").alias("g"), F.col("x.cell").alias("i"), F.col("y.cell").alias("j"))
-    dealt = tasks.withColumn("cell", F.explode(F.array_distinct(F.array("i", "j")))).join(members, ["g", "cell"])
-    sets = _sets(texts, members, words, "shingles-crowded", scratch)
+    members, dealt = dealt_in_cells(members.select("sig", "th", "n", "g"), scratch)
+    sets = sets_of(texts, members, words, "shingles-crowded", scratch)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["cell", "sig"])
@@ -215,6 +228,15 @@ def deduplicated(df: DataFrame, words: int = WORDS, key: str = "doc_id", text: s
     groups = distinct.select("sig", "low", "rows").join(joined, "sig", "left").select("sig", "low", F.coalesce("component", "sig").alias("component"), (F.col("component").isNotNull() | (F.col("rows") > 1)).alias("several"))
     # a set that one row alone has and none is similar to is kept as it is; only the others are decided on
     several, _ = written(groups.where("several").select("sig", "low", "component"), "shingles-decided-sets", scratch)
+    return one_of_each(df, several, told, key, th, scratch)
+
+
+def one_of_each(df: DataFrame, several: DataFrame, told: DataFrame, key: str, th: Column, scratch: list[str]) -> DataFrame:
+    """``df`` with, of each component of ``several`` (sig, low, component), the row of the least ``low``; rows of other texts stay.
+
+    ``low`` is the least key of a ``sig``, ``told`` has the texts' hashes (sig, th), ``th`` is that hash of a row of ``df``.
+    """
+    spark = df.sparkSession
     best = several.groupBy("component").agg(F.min(F.struct(F.col("low").isNull().alias("none"), F.col("low"), F.col("sig"))).alias("best")).select(F.col("best.sig").alias("sig"), F.lit(True).alias("best"))
     decided = several.select("sig", "low").join(best, "sig", "left").join(told, "sig")
     decided, _ = written(decided.select("th", F.struct("sig", "low", F.coalesce("best", F.lit(False)).alias("best")).alias("decided")), "shingles-decided")

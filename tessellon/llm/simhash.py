@@ -23,6 +23,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,12 @@ BITS, SEED = 64, 42
 DENSE = 1_024
 #: Bytes of text whose shingles are hashed at once.
 SLICE = 1 << 18
+#: Fingerprints that one task compares with as many others; a block value that more share is dealt out in cells of so many, two to a task.
+CELL = 4_096
+#: Fingerprints compared at once.
+CHUNK = 1 << 18
+#: Comparisons of two fingerprints that cost as much as dealing one out.
+RATE = 2_000
 #: Chance meetings of a fingerprint that are still cheap; beyond it a layout of more blocks is used.
 MEETINGS = 200
 
@@ -141,6 +148,91 @@ def links_by_centre(prints: DataFrame, distance: int) -> DataFrame:
     return at.join(least, "centre").where("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct()
 
 
+def wide_layout(count: int, distance: int) -> int:
+    """The number of blocks with which dealing out and comparing so many fingerprints together cost least."""
+    return min(range(distance + 2, 2 * distance + 3), key=lambda b: comb(b, distance) * (1 + count / 2 ** (BITS * (b - distance) / b) / RATE))
+
+
+def joined_pairs(prints: np.ndarray, masks: np.ndarray, turn: int, distance: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (a, b) that connect all pairs of ``prints`` (unsigned) that are near and not reported by other choices of blocks.
+
+    A pair belongs to the first choice of ``shared`` blocks that it agrees on; ``turn``
+    is this one, as bits. Where there are more such pairs than fingerprints, each
+    fingerprint is paired with the least one that it is connected to by near pairs.
+    """
+    found, count, label = [], 0, None
+    step = max(1, CHUNK // len(prints))
+    for at in range(0, len(prints), step):
+        x, y = np.nonzero(np.bitwise_count(prints[at : at + step, None] ^ prints[None, at:]) <= distance)
+        x, y = x[y > x] + at, y[y > x] + at
+        if not len(x):
+            continue
+        equal = ((prints[x] ^ prints[y])[:, None] & masks == 0).astype(np.int64)
+        own = ((equal * (equal.cumsum(1) <= shared)) << np.arange(len(masks))).sum(1) == turn
+        x, y = x[own], y[own]
+        count += len(x)
+        if label is None:
+            found.append((x, y))
+            if count <= len(prints):
+                continue
+            label = np.arange(len(prints))
+            x, y = (np.concatenate(side) for side in zip(*found))
+        while len(x):
+            lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            apart = lo < hi
+            x, y = x[apart], y[apart]
+            np.minimum.at(label, hi[apart], lo[apart])
+            while (label != (up := label[label])).any():
+                label = up
+    if label is not None:
+        b = np.flatnonzero(label != np.arange(len(prints)))
+        return label[b], b
+    return tuple(np.concatenate(side) for side in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def wide_links(prints: DataFrame, distance: int, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """(a, b) that connect all fingerprints within ``distance`` bits: like ``links``, for distances at which many meet by chance.
+
+    Fingerprints that agree on a choice of blocks are compared as arrays; a choice that
+    more than ``cell`` agree on is cut into cells, and each pair of cells is a task.
+    ``prints`` has one row (fp) for each distinct fingerprint and is read several times.
+    """
+    blocks = blocks or wide_layout(prints.count(), distance)
+    masks, shared = block_masks(blocks), blocks - distance
+    turns = list(combinations(range(blocks), shared))
+    whole = [sum(masks[i] for i in c) for c in turns]
+    dealt = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.hash(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("k")) for t, m in enumerate(whole)))).alias("x")).select("fp", "x.t", "x.k")
+    heavy, _ = written(dealt.groupBy("t", "k").count().where(F.col("count") > cell).select("t", "k", F.ceil(F.col("count") / cell).cast("int").alias("parts")), "simhash-heavy")
+    unsigned, every = np.array(masks, np.int64).view(np.uint64), np.array([sum(1 << i for i in c) for c in turns])
+
+    def compared(run: np.ndarray, turn: int) -> pa.RecordBatch:
+        a, b = joined_pairs(run.view(np.uint64), unsigned, every[turn], distance, shared)
+        return pa.RecordBatch.from_arrays([pa.array(run[a]), pa.array(run[b])], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])  # t, what tells groups apart, fp
+            now = now if left is None else np.concatenate([left, now], 1)
+            ends = np.flatnonzero((now[:-1, 1:] != now[:-1, :-1]).any(0)) + 1
+            for low, high in zip([0, *ends], ends):
+                if high - low > 1:
+                    yield compared(now[-1, low:high], now[0, low])
+            left = now[:, ends[-1] if len(ends) else 0 :]
+        if left is not None and left.shape[1] > 1:
+            yield compared(left[-1], left[0, 0])
+
+    def by(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(compare, "a bigint, b bigint")
+
+    if heavy.isEmpty():
+        return by(dealt, "t", "k")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    cells = dealt.join(heavy, ["t", "k"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = cells.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+    return by(dealt.join(heavy, ["t", "k"], "left_anti"), "t", "k").unionByName(by(cells, "t", "k", "i", "j"))
+
+
 def grouped(df: DataFrame, distance: int, words: int, key: str, text: str, blocks: int | None, dense: int) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows (id, fp), and the groups (fp, component, low) of the distinct ones.
 
