@@ -59,7 +59,8 @@ def links(texts: DataFrame, distinct: DataFrame, scratch: list[str], distance: i
     prints, _ = written(distinct.select("fp").distinct(), "near-prints", scratch)
     named = connected_components(wide_links(prints, distance), "a", "b").withColumnRenamed("node", "fp")
     groups, _ = written(distinct.join(named, "fp", "left").select("th", "fp", F.coalesce("component", "fp").alias("g")), "near-groups", scratch)
-    several = groups.groupBy("g").count().where("count > 1").select("g")
+    # written, so that a large group's rows come to the join from a plain shuffle, which can be split
+    several, _ = written(groups.groupBy("g").count().where("count > 1").select("g"), "near-several", scratch)
     members, _ = written(groups.join(several, "g"), "near-members", scratch)
     sets = shingles.sets_of(texts, members.select(F.col("th").alias("sig"), "th"), words, "near-sets", scratch)
     sizes = sets.select(F.col("sig").alias("th"), (F.octet_length("set") / 8).cast("int").alias("n"))
