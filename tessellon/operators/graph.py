@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessellon.functions import text as tx
 from tessellon.functions import vectors as vx
@@ -19,6 +21,8 @@ from tessellon.session import drop_path, written
 
 #: Tokens above which a community has no summary, and the text where it has no edges.
 MOST_TOKENS, NO_EDGES = 8_000, "No internal relationships found."
+#: Characters of a piece of a community's context.
+PIECE = 1 << 20
 #: Names of one side of a task that compares them.
 NAMES = 512
 
@@ -377,10 +381,44 @@ def internal_edges(members: DataFrame, relations: DataFrame) -> DataFrame:
 
 def community_context(members: DataFrame, relations: DataFrame, most: int = MOST_TOKENS) -> DataFrame:
     """(community_id, n_edges, tokens, too_long, context) with the lines of a community's edges by rel_id."""
-    inside = internal_edges(members, relations)
-    lines = F.array_sort(F.collect_list(F.struct("rel_id", "line")))
-    text = F.concat(F.lit("- "), F.array_join(F.transform(lines, lambda x: x["line"]), "\n- "))
-    rolled = inside.groupBy("community_id").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), text.alias("context"))
-    every = members.select("community_id").distinct().join(rolled, "community_id", "left")
-    total = F.coalesce("tokens", F.lit(0)).cast("bigint")
-    return every.select("community_id", F.coalesce("n_edges", F.lit(0)).cast("bigint").alias("n_edges"), total.alias("tokens"), (total > most).alias("too_long"), F.coalesce("context", F.lit(NO_EDGES)).alias("context"))
+    inside = internal_edges(members, relations).select("community_id", "rel_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"), "line")
+    bare = members.select("community_id", F.lit(None).cast(inside.schema["rel_id"].dataType).alias("first"), F.lit(-1).cast("bigint").alias("place"), F.lit(0).cast("bigint").alias("rows"), F.lit(0).cast("bigint").alias("tokens"), F.lit(None).cast("string").alias("text")).distinct()
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("first", "place", "text")))), lambda x: x["text"])
+    n, total = F.sum("rows"), F.sum("tokens")
+    # the text is made by the aggregation itself and is not joined to anything, because it may take a good part of a task's memory
+    context = F.when(n == 0, F.lit(NO_EDGES)).when(F.count("text") == 0, F.lit("- ")).otherwise(F.concat_ws("\n", texts))
+    return _pieces(inside).unionByName(bare).groupBy("community_id").agg(n.alias("n_edges"), total.alias("tokens"), (total > most).alias("too_long"), context.alias("context"))
+
+
+def _pieces(inside: DataFrame) -> DataFrame:
+    """(community_id, first, place, rows, tokens, text): the lines of each community by rel_id, in pieces of about ``PIECE`` characters.
+
+    Rows are range-partitioned and stream past sorted, so no task holds a community's
+    lines one by one. Pieces are in the order of their first rel_id and their place; the
+    text is null where all lines are.
+    """
+    spread = inside.repartitionByRange("community_id", "rel_id").sortWithinPartitions("community_id", "rel_id", "line")
+    fields = f"community_id {inside.schema['community_id'].dataType.simpleString()}, first {inside.schema['rel_id'].dataType.simpleString()}, place bigint, rows bigint, tokens bigint, text string"
+    schema = to_arrow_schema(inside.sparkSession.createDataFrame([], fields).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, size = None, 0, 0
+        lines: list[str] = []
+        done = lambda: (*held, "\n".join(lines) if lines else None)
+        for batch in batches:
+            out = []
+            for community, rel, tokens, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is None or community != held[0] or size > PIECE:
+                    if held is not None:
+                        out.append(done())
+                    held, lines, size, place = [community, rel, place, 0, 0], [], 0, place + 1
+                held[3] += 1
+                held[4] += tokens
+                if line is not None:
+                    lines.append(f"- {line}")
+                    size += len(line)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*out), schema.types)] if out else [pa.array([], f) for f in schema.types], schema=schema)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f) for x, f in zip(done(), schema.types)], schema=schema)
+
+    return spread.mapInArrow(run, fields)

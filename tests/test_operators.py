@@ -333,6 +333,18 @@ def test_communities_without_edges_and_summaries(spark):
     assert [(r.community_id, r.summary) for r in got.collect()] == [(1, "X")]
 
 
+def test_context_is_made_of_pieces(spark, monkeypatch):
+    rows = [(r, 1, 2, 3, f"line {r}" if r % 5 else None) for r in range(40, 0, -1)] + [(7, 1, 2, None, "again"), (99, 5, 6, 1, None)]
+    rel = spark.createDataFrame(rows, "rel_id long, from_entity long, to_entity long, tokens int, line string")
+    members = spark.createDataFrame([(1, 1), (1, 2), (5, 5), (5, 6), (8, 8)], "community_id long, node long")
+    lines = sorted((r, x) for r, _, _, _, x in rows if x and r != 99)
+    want = {1: (41, 120, True, "- " + "\n- ".join(x for _, x in lines)), 5: (1, 1, False, "- "), 8: (0, 0, False, graph.NO_EDGES)}
+    found = lambda: {r.community_id: (r.n_edges, r.tokens, r.too_long, r.context) for r in graph.community_context(members, rel, 60).collect()}
+    assert found() == want
+    monkeypatch.setattr(graph, "PIECE", 20)
+    assert found() == want
+
+
 def test_leiden_invariants():
     rng = random.Random(5)
     edges = [(g * 20 + a, g * 20 + b, 1.0) for g in range(4) for a in range(20) for b in range(a) if rng.random() < 0.5] + [(0, 20, 1.0), (20, 40, 1.0), (40, 60, 1.0)]
