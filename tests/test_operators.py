@@ -1,6 +1,7 @@
 """Worked examples and properties of the operators."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -360,6 +361,22 @@ def test_leiden_invariants():
     assert all(of[level - 1, node] == parent for node, level, _, parent in rows if level)
 
 
+def test_leiden_holds_links_as_arrays(monkeypatch):
+    """Peak memory is a small multiple of the edges' arrays, and how sums are made changes nothing."""
+    rng = np.random.default_rng(3)
+    a, b = np.nonzero(np.triu(rng.random((700, 700)) < 0.4, 1))
+    w = rng.random(len(a))
+    monkeypatch.setattr(leiden, "FOLDED", 10_000)
+    tracemalloc.start()
+    whole = [(m.tolist(), *x) for m, *x in leiden.divided(a, b, w, 10, 1, 0)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 * len(a)
+    monkeypatch.setattr(leiden, "FEW", 2)
+    monkeypatch.setattr(leiden, "FOLDED", 4_000_000)
+    assert whole == [(m.tolist(), *x) for m, *x in leiden.divided(a, b, w, 10, 1, 0)]
+
+
 def test_relevance_and_metrics(spark):
     df = spark.createDataFrame([("b c", "a B c d"), ("b x", "a b c"), (None, "a")], "c string, d string")
     assert [r.relevant for r in evaluation.relevance(df, "c", "d").collect()] == [1, 0, 0]
