@@ -389,6 +389,15 @@ def test_relevance_and_metrics(spark):
     assert one == {1: (1.0, pytest.approx((1 + 2 / 3) / 2), 1), 2: (0.0, 0.0, 0)}
 
 
+def test_metrics_by_label_make_no_pairs(spark):
+    items = spark.createDataFrame([(i, i % 3 if i < 9 else None) for i in range(11)] + [(20, 7)], "doc_id int, label int")
+    asked = items.where("doc_id in (0, 4, 9, 20)").select(F.col("doc_id").alias("query_id"), "label")
+    hits = spark.createDataFrame([(0, 3, 1), (0, 0, 2), (0, 1, 3), (4, 1, 2), (4, 7, 1), (9, 10, 1)], "query_id int, doc_id int, rank int")
+    want = asked.join(items, "label").where("doc_id <> query_id").select("query_id", "doc_id")
+    rows = lambda df: sorted((r.query_id, r.k, r.precision, r.recall, r.f1) for r in df.collect())
+    assert rows(evaluation.label_precision_recall(asked, hits, items, (1, 3))) == rows(evaluation.precision_recall(asked, hits, want, (1, 3)))
+
+
 def test_lenient_relevance(spark):
     df = spark.createDataFrame([("a b x", "a b c d e f"), ("a y", "a b c d e f"), ("b c", "a b c d"), (None, "a")], "c string, d string")
     assert [(round(r.overlap, 3), r.relevant) for r in evaluation.lenient_relevance(df, "c", "d").collect()] == [(0.333, 1), (0.167, 0), (1.0, 1), (0.0, 0)]
