@@ -174,6 +174,21 @@ def test_keyword_search_by_cover(spark):
         assert r.c == pytest.approx(similarity.cover_density("abc", places))
 
 
+def test_keyword_search_leaves_the_index_in_place(spark, monkeypatch):
+    """Few hits come to the index, which is not dealt out; many meet it by id, with the same result."""
+    docs = spark.createDataFrame([(i, f"common w{i % 7} x{i % 5} y{i % 3}") for i in range(200)] + [(500, None)], "doc_id long, text string")
+    asked = search.query_terms(spark.createDataFrame([(1, "common w3 x2 y1"), (2, "w1"), (3, "common"), (4, "w1 w2"), (5, "nowhere")], "query_id long, text string"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.cover) for r in df.collect())
+    found = search.keyword_search(search.term_index(docs), asked, None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    got = rows(found)
+    assert {(q, d) for q, _, d, _ in got} == {(1, i) for i in range(200) if (i % 7, i % 5, i % 3) == (3, 2, 1)} | {(2, i) for i in range(1, 200, 7)} | {(3, i) for i in range(200)}
+    monkeypatch.setattr(search, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(search, "PROBED", 1)
+    assert rows(search.keyword_search(search.term_index(docs), asked, None)) == got
+
+
 def test_vectors(spark):
     row = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0], "[0.1, 2]", "x")], "a array<float>, z array<float>, t string, bad string").select(
         vectors.normalize(F.col("a")).alias("n"), vectors.normalize(F.col("z")).alias("z"), vectors.cosine(F.col("a"), F.col("z")).alias("c"), vectors.parse(F.col("t")).alias("p"), vectors.parse(F.col("bad")).alias("b"), vectors.render(F.col("a")).alias("r")
