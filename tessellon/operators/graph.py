@@ -16,6 +16,7 @@ from tessellon.functions import vectors as vx
 from tessellon.functions.similarity import indel_ratio
 from tessellon.operators.components import connected_components
 from tessellon.operators.leiden import divided
+from tessellon.operators.pairs import with_cosines
 from tessellon.operators.search import ranked, within_budget
 from tessellon.operators.tables import numbered, upsert_names
 from tessellon.session import drop_path, written
@@ -70,11 +71,8 @@ def graph_counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def relation_weights(relations: DataFrame, entities: DataFrame, id_col: str = "entity_id", vector: str = "embedding") -> DataFrame:
     """``relations`` with ``weight`` filled from the cosine of its ends where it is null and both have vectors."""
-    a = entities.select(F.col(id_col).alias("from_entity"), F.col(vector).alias("__a"))
-    b = entities.select(F.col(id_col).alias("to_entity"), F.col(vector).alias("__b"))
-    out = relations.join(a, "from_entity", "left").join(b, "to_entity", "left")
     own = F.col("weight") if "weight" in relations.columns else F.lit(None).cast("int")
-    return out.withColumn("weight", F.coalesce(own, vx.weight_bucket(vx.cosine(F.col("__a"), F.col("__b"))))).drop("__a", "__b")
+    return with_cosines(relations, entities, "__cosine", id_col=id_col, vector=vector).withColumn("weight", F.coalesce(own, vx.weight_bucket(F.col("__cosine")))).drop("__cosine")
 
 
 def simple_graph(relations: DataFrame, nodes: DataFrame | None = None, node: str = "entity_id") -> DataFrame:

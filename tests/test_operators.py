@@ -1,5 +1,6 @@
 """Worked examples and properties of the operators."""
 
+import math
 import random
 import tracemalloc
 
@@ -276,6 +277,25 @@ def test_hashed_pairs_by_blocks(spark):
     assert sorted(one) == sorted((r.u, r.v, round(r.sim, 9)) for r in pairs.all_pairs_hashed(df, 0.7, block=4).collect())
 
 
+def test_cosines_of_relations_by_blocks(spark, monkeypatch):
+    """Relations meet vectors without carrying them, and the result is that of joins."""
+    rng = np.random.default_rng(6)
+    e = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=3)]) for i in range(30)] + [(40, [0.0] * 3), (41, [1.0]), (42, None), (43, [2.0])], "entity_id long, embedding array<float>")
+    ends = [(int(a), int(b)) for a, b in rng.integers(0, 32, (200, 2))] + [(40, 1), (41, 43), (41, 2), (42, 1), (5, 5), (None, 3)]
+    rel = spark.createDataFrame([(i, a, b, 3 if i % 9 == 0 else None) for i, (a, b) in enumerate(ends)], "rel_id long, from_entity int, to_entity int, weight int")
+    of = lambda c, v: e.select(F.col("entity_id").alias(c), F.col("embedding").alias(v))
+    joined = rel.join(of("from_entity", "a"), "from_entity", "left").join(of("to_entity", "b"), "to_entity", "left")
+    want = {r.rel_id: r.c for r in joined.select("rel_id", vectors.cosine(F.col("a"), F.col("b")).alias("c")).collect()}
+    for block in (1_000, 4):
+        got = {r.rel_id: r.c for r in pairs.with_cosines(rel, e, "c", block=block).collect()}
+        assert got.keys() == want.keys()
+        assert all(want[k] is None if c is None else c == pytest.approx(want[k], abs=1e-12) for k, c in got.items())
+        assert {r.rel_id for r in pairs.with_cosines(rel, e, "c", inner=True, block=block).collect()} == {k for k, (a, b) in enumerate(ends) if {a, b} <= {*range(30), 40, 41, 42, 43}}
+    rows = {r.rel_id: r.weight for r in graph.relation_weights(rel, e).collect()}
+    assert rows == {k: 3 if k % 9 == 0 else None if c is None else 10 if ends[k][0] == ends[k][1] else 1 + math.floor(9 * c) for k, c in want.items()}  # equal vectors have exactly 1
+    assert "Join" not in graph.relation_weights(rel, e)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_khop_and_deepening(spark):
     path = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "c", "d"), (4, "x", "y")], "rel_id int, from_entity string, to_entity string")
     seed = spark.createDataFrame([("a",)], "node string")
