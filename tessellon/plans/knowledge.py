@@ -293,8 +293,8 @@ def rel_weight_bucket(spark: SparkSession, sf: str) -> DataFrame:
 def edge_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Cosine of the vectors at both ends of the relations that have them."""
     e = table(spark, sf, "embeddings")
-    out = _order_relations(spark, sf).join(e.select(F.col("vec_id").alias("from_entity"), F.col("embedding").alias("a")), "from_entity").join(e.select(F.col("vec_id").alias("to_entity"), F.col("embedding").alias("b")), "to_entity")
-    return out.select("rel_id", F.round(vx.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+    out = pairs.with_cosines(_order_relations(spark, sf).select("rel_id", "from_entity", "to_entity"), e, "similarity", id_col="vec_id", inner=True)
+    return out.select("rel_id", F.round("similarity", 6).alias("similarity"))
 
 
 def khop_edges(spark: SparkSession, sf: str) -> DataFrame:
